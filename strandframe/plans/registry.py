@@ -1,9 +1,14 @@
-"""Every query of the library with its SQL."""
+"""Every query of the library on the driver tables, with its SQL.
+
+Driver tables hold no proteins: texts are cleaned to the 20 amino letters, embeddings' first dimensions serve as
+coordinates, and events and lineitem stand in for scores. Whole tables and whole texts are read.
+"""
+from strandframe.plans import motif, relational
 
 
 def queries() -> dict:
-    return {}
+    return {**motif.QUERIES, **relational.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {**motif.SQL, **relational.SQL}
