@@ -4,7 +4,7 @@ A set's band follows from its size; a band's theta bounds the symmetric differen
 threshold. Shingle hashes are dealt into segments, and units are allotted so that they sum to theta + 1: with one
 unit a segment must be equal, with two it may differ by one deletion. The cheaper allotment is taken by band: whole
 single units for large sets (with spare segments, so that empty ones need no signature), two units each for small. Candidates
-under a signature meet at the member that most signatures share, are verified on the whole texts, and linked members
+under a signature meet at the members that most signatures share, are verified on the whole texts, and linked members
 are contracted before the next round, until no signature holds an unverified pair of different components.
 
 Null or empty texts have an empty set and link with nothing; fewer than n words are one shingle; equal sets are one
@@ -139,12 +139,12 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     texts = docs.join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
     texts = materialize(texts, "jaccard-texts")
     weight = materialize(shared.withColumn("n", F.count("*").over(by)).groupBy("id").agg(F.sum("n").alias("w")), "jaccard-weight")
-    # comp: component of an id so far; a hub that has met all of a signature's members leaves it
-    open_, edges, done = shared.join(weight, "id").select("sig", "id", "w", F.col("id").alias("comp")), None, None
-    for _ in range(1000):
-        top = F.max(F.struct("w", F.col("id").alias("hub"), F.col("comp").alias("hub_comp"))).over(by)
-        dealt = open_.withColumn("top", top).select("sig", "id", "w", "comp", F.col("top.hub").alias("hub"), F.col("top.hub_comp").alias("hub_comp"))
-        pairs = dealt.filter("id <> hub AND comp <> hub_comp").select("hub", "id").distinct()
+    # comp: component of an id so far; hubs that have met all of a signature's members leave it, eight times more each round
+    open_, edges, done, most = shared.join(weight, "id").select("sig", "id", "w", F.col("id").alias("comp")), None, None, 1
+    while True:
+        ranked = materialize(open_.withColumn("rank", F.row_number().over(by.orderBy(F.desc("w"), "id"))), "jaccard-ranked")
+        hubs = ranked.filter(F.col("rank") <= most).select("sig", F.col("id").alias("hub"), F.col("comp").alias("hub_comp"), F.col("rank").alias("hub_rank"))
+        pairs = ranked.join(hubs, "sig").filter("rank > hub_rank AND comp <> hub_comp").select("hub", "id").distinct()
         if done is not None:
             pairs = pairs.join(done, ["hub", "id"], "left_anti")
         tested = materialize(verify(pairs, texts, n, num, den), "jaccard-tested")
@@ -153,9 +153,9 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
         new = tested.filter("linked").select("hub", "id")
         edges = new if edges is None else edges.unionByName(new)
         cc = materialize(connected_components(edges, "hub", "id").withColumnRenamed("id", "c_id"), "jaccard-components")
-        left = dealt.filter("id <> hub").drop("comp", "hub", "hub_comp").join(cc, F.col("id") == F.col("c_id"), "left").select("sig", "id", "w", F.coalesce("component", "id").alias("comp"))
+        left = ranked.filter(F.col("rank") > most).join(cc, F.col("id") == F.col("c_id"), "left").select("sig", "id", "w", F.coalesce("component", "id").alias("comp"))
         left = left.withColumn("a", F.min("comp").over(by)).withColumn("b", F.max("comp").over(by)).filter("a <> b").select("sig", "id", "w", "comp")
-        open_ = materialize(left, "jaccard-open")
+        open_, most = materialize(left, "jaccard-open"), most * 8
         if not open_.take(1):
             break
     reach = sets.join(cc, sets.rep == cc.c_id, "left").select(F.col("set_id").alias("s_"), F.coalesce("component", "rep").alias("component_id"))
