@@ -103,7 +103,7 @@ class ShardReader:
 class Encoder:
     """The tokenizer, with the pieces it splits a text into kept once encoded: a piece's ids depend on the piece alone."""
 
-    def __init__(self, tokenizer_path: str, keep: int = 400_000):
+    def __init__(self, tokenizer_path: str, keep: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import regex
