@@ -3,22 +3,22 @@
 Voters are insults of a seed lexicon, words and word beginnings found by their odds in labelled training rows, and
 style patterns. A generative label model (expectation maximisation, one accuracy pair per voter) is fitted with the
 voters' correlations measured on the same rows: a voter that moves with others is weighted by its share. A linear
-classifier is then trained on the posterior labels, with the given labels as one more voter. Fitting uses at most
-`max_rows` labelled rows, never a held-out one; scoring reads every whole text.
+classifier is then trained on the posterior labels, with the given labels as one more voter. Odds and models are fitted
+on at most `max_rows` labelled rows, never a held-out one; only voters and distinct vote patterns reach the driver.
+Scoring reads every whole text.
 
 Null or empty texts get the prior; a null doc_id is not held out; labels of unknown documents are ignored; repeated
 rows are scored alike; without training rows the seed lexicon alone decides.
 """
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table
-from ._words import ALNUM, chunks, word_hash, words
+from ._shared import materialize, table
+from ._words import ALNUM, LOWER, chunks, word_hash, words
 
 SEED = "idiot idiots stupid moron morons loser losers scum trash clown pathetic worthless disgusting dumb imbecile fool hate filthy vermin bastard".split()
 MAX_ROWS = 40_000
@@ -42,101 +42,137 @@ def patterns(text: str) -> list[bool]:
 
 
 class Model:
-    """Voters' words and stems, and a linear classifier on the votes."""
-
-    def __init__(self, rows: list[tuple], voters: int = 400, lift: float = 12.0):
-        y = np.array([r[1] for r in rows], float)
-        bags = [keys(r[0]) for r in rows]
-        n1, n0 = y.sum() + 1, (1 - y).sum() + 1
-        bad: dict = {}
-        good: dict = {}
-        for b, t in zip(bags, y, strict=True):
-            to = bad if t else good
-            for k in b:
-                to[k] = to.get(k, 0) + 1
-        odds = {k: ((c + 0.5) / n1) / ((good.get(k, 0) + 0.5) / n0) for k, c in bad.items() if c >= max(4, 0.002 * n1)}
-        found = sorted((k for k, o in odds.items() if o >= lift), key=lambda k: (-bad[k] * np.log(odds[k]), k))[:voters]
-        self.names = sorted({*SEED, *found})
-        at = {k: i for i, k in enumerate(self.names)}
-        v = np.zeros((len(rows), len(self.names) + 3), bool)
-        for i, b in enumerate(bags):
-            v[i, [at[k] for k in b if k in at]] = True
-            v[i, len(self.names) :] = patterns(rows[i][0])
-        self.w, self.b = self._fit(v, y) if len(rows) else (np.r_[np.full(len(self.names), 4.0), 0, 0, 0], -3.0)
-
-    def _fit(self, v: np.ndarray, y: np.ndarray):
-        x = v.astype(float)
-        # correlations: the share of a voter's evidence that is its own
-        c = x - x.mean(0)
-        sd = np.sqrt((c * c).mean(0)) + 1e-9
-        corr = np.abs(c.T @ c / len(x) / np.outer(sd, sd))
-        share = 1 / np.maximum(1, (corr * (corr > 0.3)).sum(0))
-        post = 0.1 + 0.8 * y
-        for _ in range(15):  # accuracies given posteriors, posteriors given accuracies; the label is a voter too
-            p1, p0 = (post @ x + 0.5) / (post.sum() + 1), ((1 - post) @ x + 0.5) / ((1 - post).sum() + 1)
-            l1, l0 = (post @ y + 1) / (post.sum() + 2), ((1 - post) @ y + 1) / ((1 - post).sum() + 2)
-            prior = np.log(post.mean() / (1 - post.mean()))
-            z = prior + (x * np.log(p1 / p0)) @ share + np.where(y > 0, np.log(l1 / l0), np.log((1 - l1) / (1 - l0)))
-            post = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            post = np.clip(post, 0.001, 0.999)
-        w, b = np.zeros(x.shape[1]), 0.0
-        g2, gb2 = np.full(len(w), 1e-8), 1e-8
-        for _ in range(400):  # logistic regression on the posterior labels
-            e = 1 / (1 + np.exp(-(x @ w + b))) - post
-            g, gb = x.T @ e / len(x) + 1e-5 * w, e.mean()
-            g2, gb2 = g2 + g * g, gb2 + gb * gb
-            w, b = w - 0.5 * g / np.sqrt(g2), b - 0.5 * gb / np.sqrt(gb2)
-        return w, float(b)
+    """Voters' words and stems, and the weights of a linear classifier on the votes."""
+
+    def __init__(self, names: list[str], w: np.ndarray | None = None, b: float = -3.0):
+        self.names, self.b = names, b
+        self.w = np.r_[np.full(len(names), 4.0), 0, 0, 0] if w is None else w
+
+
+def fit(v: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and bias from distinct vote rows v with label y, each met n times."""
+    x, n = v.astype(np.float32), n / n.sum()
+    # correlations: the share of a voter's evidence that is its own
+    mean = n @ x
+    sd = np.sqrt(mean - mean * mean) + 1e-9
+    corr = np.abs(((x * n[:, None].astype(np.float32)).T @ x - np.outer(mean, mean)) / np.outer(sd, sd))
+    share = 1 / np.maximum(1, (corr * (corr > 0.3)).sum(0))
+    post, few = 0.1 + 0.8 * y, 1e-5
+    for _ in range(15):  # accuracies given posteriors, posteriors given accuracies; the label is a voter too
+        q1, q0 = n * post, n * (1 - post)
+        p1, p0 = (q1 @ x + few / 2) / (q1.sum() + few), (q0 @ x + few / 2) / (q0.sum() + few)
+        l1, l0 = (q1 @ y + few) / (q1.sum() + 2 * few), (q0 @ y + few) / (q0.sum() + 2 * few)
+        z = np.log(q1.sum() / q0.sum()) + x @ (np.log(p1 / p0) * share) + np.where(y > 0, np.log(l1 / l0), np.log((1 - l1) / (1 - l0)))
+        post = np.clip(1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.001, 0.999)
+    w, b = np.zeros(x.shape[1]), 0.0
+    g2, gb2 = np.full(len(w), 1e-8), 1e-8
+    for _ in range(400):  # logistic regression on the posterior labels
+        e = n * (1 / (1 + np.exp(-(x @ w + b))) - post)
+        g, gb = e @ x + 1e-5 * w, e.sum()
+        g2, gb2 = g2 + g * g, gb2 + gb * gb
+        w, b = w - 0.5 * g / np.sqrt(g2), b - 0.5 * gb / np.sqrt(gb2)
+    return w, float(b)
+
+
+def key_counts(rows: DataFrame, most: int = 300_000) -> DataFrame:
+    """key, bad, good: toxic and other rows that hold each word or stem. A task's counts are merged before they leave it."""
+
+    def run(batches):
+        counts: dict = {}
+
+        def flush():
+            names = list(counts)
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([counts[k][j] for k in names], pa.int64()) for j in (0, 1))], names=["key", "bad", "good"])
+
+        for b in batches:
+            for t, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                for k in keys(t.as_py()):
+                    counts.setdefault(k, [0, 0])[0 if y else 1] += 1
+                if len(counts) > most:
+                    yield flush()
+                    counts.clear()
+        yield flush()
+
+    return rows.select("text", "toxic").mapInArrow(run, "key string, bad long, good long").groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+
+
+def find_voters(rows: DataFrame, voters: int = 400, lift: float = 12.0) -> list[str]:
+    """Seed words, and the `voters` strongest of the keys whose odds reach `lift` over all rows."""
+    n1, n0 = (int(x or 0) + 1 for x in rows.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
+    odds = ((F.col("bad") + 0.5) / n1) / ((F.col("good") + 0.5) / n0)
+    found = key_counts(rows).filter(F.col("bad") >= max(4, 0.002 * n1)).withColumn("odds", odds).filter(F.col("odds") >= lift)
+    top = found.orderBy(F.desc(F.col("bad") * F.log("odds")), "key").select("key").limit(voters).collect()
+    return sorted({*SEED, *(r[0] for r in top)})
+
+
+class Voters:
+    """Votes of whole text columns: one column a name, then the patterns."""
+
+    def __init__(self, names: list[str]):
+        whole = sorted((word_hash(k), i) for i, k in enumerate(names) if not k.endswith("*"))
+        self.width = len(names) + 3
+        self.hs, self.col = np.array([h for h, _ in whole], np.uint64), np.array([i for _, i in whole])
+        self.bits = np.zeros(1 << 16, bool)
+        self.bits[(self.hs >> np.uint64(48)).astype(np.int64)] = True
+        stems = [(k[:-1].encode(), i) for i, k in enumerate(names) if k.endswith("*")]
+        self.tab = {n: _stem_table([(s, i) for s, i in stems if len(s) == n]) for n in sorted({len(s) for s, _ in stems})}
+
+    def __call__(self, texts: pa.Array):
+        """(first row, rows, votes) of runs of rows."""
+        for i, k, data, off in chunks(texts):
+            starts, ends, h, first = words(data, off, ALNUM)
+            votes = np.zeros((k, self.width), bool)
+            row = np.repeat(np.arange(k), np.diff(first))
+            near = np.flatnonzero(self.bits[(h >> np.uint64(48)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(self.hs, h[near]), len(self.hs) - 1)
+            ok = self.hs[at] == h[near]
+            votes[row[near[ok]], self.col[at[ok]]] = True
+            low = np.r_[LOWER[data], np.zeros(16, np.uint8)]
+            for n, (ks, cs) in self.tab.items():
+                long = ends - starts > n
+                pos = starts[long]
+                x = np.zeros(len(pos), np.uint64)
+                for j in range(n):
+                    x = x << np.uint64(8) | low[pos + j].astype(np.uint64)
+                at = np.minimum(np.searchsorted(ks, x), len(ks) - 1)
+                ok = ks[at] == x
+                votes[row[long][ok], cs[at[ok]]] = True
+            for r, t in enumerate(texts.slice(i, k).to_pylist()):
+                votes[r, -3:] = patterns(t)
+            yield i, k, votes
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    known = labels.filter("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.filter(~held()).select("doc_id", "text").join(known, "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "toxic")
-    share = min(1.0, max_rows / max(1, known.count()))
-    rows = rows.filter(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20))).orderBy("h").limit(max_rows)
+    """Fitted on max_rows labelled rows at most, chosen by a hash of their ids: the only rows of labels that are broadcast."""
+    known = labels.filter("toxic IS NOT NULL").filter(~held()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
+    share = min(1.0, 1.05 * max_rows / max(1, known.count()))
+    known = known.filter(F.pmod("h", F.lit(1 << 20)) <= int(share * (1 << 20))).orderBy("h", "doc_id").limit(max_rows)
+    rows = docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id", "toxic")), "doc_id")
+    rows = materialize(rows.select("text", "toxic"), "toxicity-rows")
+    names = find_voters(rows)
+    vote = docs.sparkSession.sparkContext.broadcast(Voters(names))
+
+    def run(batches):
+        for b in batches:
+            for i, k, v in vote.value(b.column(0)):
+                packed = [x.tobytes() for x in np.packbits(v, axis=1)]
+                yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), b.column(1).slice(i, k)], names=["votes", "toxic"])
 
-    bags = rows.select(F.col("text"), "toxic").toLocalIterator(prefetchPartitions=True)
-    return Model([(r[0], r[1]) for r in bags])
+    seen = rows.mapInArrow(run, "votes binary, toxic int").groupBy("votes", "toxic").agg(F.count("*").alias("n"))
+    got = seen.orderBy(F.desc("n"), "votes", "toxic").limit(max_rows).collect()
+    if not any(r.toxic for r in got) or all(r.toxic for r in got):
+        return Model(names)
+    v = np.unpackbits(np.frombuffer(b"".join(r.votes for r in got), np.uint8).reshape(len(got), -1), axis=1, count=len(names) + 3).astype(bool)
+    return Model(names, *fit(v, np.array([r.toxic for r in got], float), np.array([r.n for r in got], float)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    spark = docs.sparkSession
-    names = model.names
-    shared = spark.sparkContext.broadcast((
-        {word_hash(k): i for i, k in enumerate(names) if not k.endswith("*")}, {k[:-1].encode(): i for i, k in enumerate(names) if k.endswith("*")}, model.w, model.b))
+    shared = docs.sparkSession.sparkContext.broadcast((Voters(model.names), model.w, model.b))
 
     def run(batches):
-        whole, stems, w, bias = shared.value
-        hs = np.array(sorted(whole), np.uint64)
-        col = np.array([whole[int(h)] for h in hs])
-        bits = np.zeros(1 << 16, bool)
-        bits[(hs >> np.uint64(48)).astype(np.int64)] = True
-        lens = sorted({len(s) for s in stems})
-        tab = {n: _stem_table([(s, i) for s, i in stems.items() if len(s) == n]) for n in lens}
+        vote, w, bias = shared.value
         for b in batches:
-            for i, k, data, off in chunks(b.column(1)):
-                starts, ends, h, first = words(data, off, ALNUM)
-                votes = np.zeros((k, len(w)), bool)
-                row = np.repeat(np.arange(k), np.diff(first))
-                near = np.flatnonzero(bits[(h >> np.uint64(48)).astype(np.int64)])
-                at = np.minimum(np.searchsorted(hs, h[near]), len(hs) - 1)
-                ok = hs[at] == h[near]
-                votes[row[near[ok]], col[at[ok]]] = True
-                if len(data):
-                    from ._words import LOWER
-
-                    low = np.r_[LOWER[data], np.zeros(16, np.uint8)]
-                    for n, (ks, cs) in tab.items():
-                        long = ends - starts > n
-                        pos = starts[long]
-                        x = np.zeros(len(pos), np.uint64)
-                        for j in range(n):
-                            x = x << np.uint64(8) | low[pos + j].astype(np.uint64)
-                        at = np.minimum(np.searchsorted(ks, x), len(ks) - 1)
-                        ok = ks[at] == x
-                        votes[row[long][ok], cs[at[ok]]] = True
-                for r, t in enumerate(b.column(1).slice(i, k).to_pylist()):
-                    votes[r, -3:] = patterns(t)
+            for i, k, votes in vote(b.column(1)):
                 s = 1 / (1 + np.exp(-(votes @ w + bias)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, k), b.column(2).slice(i, k), pa.array(s)], names=["doc_id", "held_out", "score"])
 
