@@ -3,12 +3,12 @@
 Driver tables hold no proteins: texts are cleaned to the 20 amino letters, embeddings' first dimensions serve as
 coordinates, and events and lineitem stand in for scores. Whole tables and whole texts are read.
 """
-from strandframe.plans import motif, relational
+from strandframe.plans import motif, relational, structure
 
 
 def queries() -> dict:
-    return {**motif.QUERIES, **relational.QUERIES}
+    return {**motif.QUERIES, **relational.QUERIES, **structure.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {**motif.SQL, **relational.SQL}
+    return {**motif.SQL, **relational.SQL, **structure.SQL}
