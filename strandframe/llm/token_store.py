@@ -6,6 +6,7 @@ low 32 bits of XXH64 of each frame, in a skippable frame that ends with its magi
 zstandard's own checksum. Nulls count as empty texts; an empty table gives no file; ties of doc_id stay in (doc_id,
 text) order, nulls first.
 """
+import functools
 import io
 import os
 import struct
@@ -112,22 +113,28 @@ class Encoder:
         self.t = Tokenizer.from_file(tokenizer_path)
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.special = [x.content for x in self.t.get_added_tokens_decoder().values()]
-        self.known: dict[str, tuple] = {}
+        self.known: dict[str, bytes] = {}  # ids as 32-bit integers, so that a text's are joined without a loop
         self.keep = keep
 
-    def __call__(self, text: str) -> list[int]:
+    def __call__(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
-            return self.t.encode(text, add_special_tokens=False).ids
+            return np.array(self.t.encode(text, add_special_tokens=False).ids, "<u4")
         known, pieces = self.known, self.split(text)
-        if miss := [x for x in set(pieces) if x not in known]:
+        try:
+            raw = b"".join(map(known.__getitem__, pieces))
+        except KeyError:
             if len(known) > self.keep:
                 known.clear()
-                miss = list(set(pieces))
-            known.update(zip(miss, (e.ids for e in self.t.encode_batch_fast(miss, add_special_tokens=False)), strict=True))
-        out: list[int] = []
-        for x in pieces:
-            out += known[x]
-        return out
+            miss = [x for x in set(pieces) if x not in known]
+            known.update(zip(miss, (np.array(e.ids, "<u4").tobytes() for e in self.t.encode_batch_fast(miss, add_special_tokens=False)), strict=True))
+            raw = b"".join(map(known.__getitem__, pieces))
+        return np.frombuffer(raw, "<u4")
+
+
+@functools.lru_cache(1)
+def encoder(tokenizer_path: str) -> Encoder:
+    """One for all tasks of a worker, so that its known pieces last."""
+    return Encoder(tokenizer_path)
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = END_ID) -> DataFrame:
@@ -137,7 +144,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = E
     def run(batches):
         from pyarrow import fs
 
-        enc, part, writer, first = Encoder(tokenizer_path), TaskContext.get().partitionId(), None, 0
+        enc, part, writer = encoder(tokenizer_path), TaskContext.get().partitionId(), None
         where, base = fs.FileSystem.from_uri(out)
         name = f"{base}/shard-{part:06d}.zst"
         temp = f"{name}.{uuid.uuid4().hex}.tmp"
@@ -147,9 +154,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = E
                     where.create_dir(base)
                     f = where.open_output_stream(temp)
                     writer = ShardWriter(f)
-                ids = enc(t.as_py() or "")
-                ids.append(end_id)
-                writer.add(i.as_py(), np.array(ids, np.uint32))
+                writer.add(i.as_py(), np.append(enc(t.as_py() or ""), np.uint32(end_id)))
         if writer:
             writer.close()
             f.close()
