@@ -2,8 +2,9 @@
 
 Text nodes are pooled by root-to-leaf tag path (names with classes). Each path has a text length and a punctuation
 count per node; both are smoothed over neighbouring paths in page order, fused by their product, and thresholded at
-a share of the mean. The content container is the deepest path that holds most of the selected text; all its blocks
-outside menus, headers, footers, sidebars, notices, adverts, forms and comments make the text, and none is capped.
+a share of the mean. The content container is the deepest path that holds most of the selected text, whatever its tag;
+an article or main around it takes its place only where that adds mostly headings or text that passes by itself.
+All its blocks outside menus, headers, footers, sidebars, notices, adverts, forms and comments make the text, and none is capped.
 Null or empty html gives an empty text; repeated rows give equal rows; extra columns are ignored.
 """
 import html as _html
@@ -21,6 +22,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea title iframe xmp".split())
 DROP = frozenset("head nav header footer aside form script style noscript template select button iframe textarea svg title menu dialog object canvas".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var br wbr".split())
+HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _BAD = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|menu|nav\w*|breadcrumbs?|footer|header|masthead|comments?|disqus|replies|reply|cookies?|consent|notice|notification|alert|popup|modal|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommended|widget|toolbar|copyright|complementary|contentinfo|navigation)(?:$|[-_\s])", re.I)
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SELF = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",), "option": ("select",)}
@@ -96,21 +98,19 @@ def main_text(page: str | None) -> str:
     fused = [a * b for a, b in zip(smooth(size), smooth(punct), strict=True)]
     least = 0.5 * sum(fused) / len(fused)
     chosen = [p for p, f in zip(paths, fused, strict=True) if f >= least]
-    named = [p for p in paths for x in p if x[0] in ("article", "main")]
     weight: dict = {}
     for p in chosen:
         for k in range(len(p) + 1):
             weight[p[:k]] = weight.get(p[:k], 0) + stats[p][0]
     total = weight[()]
     box = max((p for p, w in weight.items() if w >= 0.6 * total and (not p or p[-1][0] not in INLINE and p[-1][0] not in ("p", "h1", "h2", "h3", "li"))), key=len)
-    for k, x in enumerate(box):  # the whole of the article, not a section of it
-        if x[0] in ("article", "main"):
-            box = box[: k + 1]
-            break
-    else:
-        if named and not any(x[0] in ("article", "main") for x in box):
-            p = max(named, key=lambda p: stats[p][0])
-            box = p[: next(k for k, x in enumerate(p) if x[0] in ("article", "main")) + 1]
+    ends = [k + 1 for k, x in enumerate(box) if x[0] in ("article", "main")]
+    if ends:  # the article or main around the box, if what it adds is mostly headings or text that passes unsmoothed
+        own = {p for p, a, b in zip(paths, size, punct, strict=True) if a * b >= least}
+        more = [p for p in paths if p[: ends[-1]] == box[: ends[-1]] and p[: len(box)] != box]
+        good = sum(stats[p][0] for p in more if p in own or any(x[0] in HEADS for x in p))
+        if 2 * good >= sum(stats[p][0] for p in more):
+            box = box[: ends[-1]]
     blocks: dict = {}
     for p, t, b in found:
         if p[: len(box)] == box:

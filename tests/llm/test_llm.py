@@ -143,6 +143,20 @@ def test_html():
     assert html_text.main_text("<p>" + "Long, text. " * 20000) == ("Long, text. " * 20000).strip() and html.unescape("&amp") == "&"
 
 
+def test_html_ratios_decide():
+    story = [f"Paragraph {k} of the story, with a point. " * 12 for k in range(10)]
+    body = "".join(f"<p>{x}</p>" for x in story)
+    want = "\n".join(x.strip() for x in story)
+    for tag in ("article", "main"):
+        teaser = f"<section><{tag}><p>Another tale, to be read elsewhere today. Read more of it.</p></{tag}></section>"
+        assert html_text.main_text(f"<body><div class=content>{body}</div>{teaser}</body>") == want
+        assert html_text.main_text(f"<body>{teaser}<div class=content>{body}</div></body>") == want
+        links = "<div class=more>" + "<ul><li><a>Other tale</a></li></ul>" * 30 + "</div>"
+        assert html_text.main_text(f"<body><{tag}><div class=content>{body}</div>{links}</{tag}></body>") == want
+        assert html_text.main_text(f"<body><{tag}><div class=top><h1>Title</h1></div><div class=content>{body}</div></{tag}></body>") == "Title\n" + want
+    assert html_text.main_text(f"<body><div><a>Home</a> <a>Away</a></div><div class=content>{body}</div></body>") == want
+
+
 def test_ogg(spark, docs):
     got = {r.doc_id: r for r in ogg.decode_media(ogg.encode_media(docs[0])).collect()}
     for i, t, *_ in docs[1]:
