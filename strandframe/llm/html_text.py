@@ -4,9 +4,13 @@ Text nodes are pooled by root-to-leaf tag path (names with classes). Each path h
 count per node; both are smoothed over neighbouring paths in page order, fused by their product, and thresholded at
 a share of the mean. The content container is the deepest path that holds most of the selected text, whatever its tag;
 an article or main around it takes its place only where that adds mostly headings or text that passes by itself.
-All its blocks outside menus, headers, footers, sidebars, notices, adverts, forms and comments make the text, and none is capped.
+All its blocks outside menus, headers, footers, sidebars, notices, adverts, forms and comments make the text, and none
+is capped. Such places are known by tag or by a whole class, id or role name (sidebar-left, not has-sidebar), and a
+named one or a form that holds an article, a main or most of the selected text stays; adverts, comments and the like
+stay only around a main.
 Null or empty html gives an empty text; repeated rows give equal rows; extra columns are ignored.
 """
+import functools
 import html as _html
 import re
 
@@ -23,14 +27,30 @@ RAW = frozenset("script style noscript template textarea title iframe xmp".split
 DROP = frozenset("head nav header footer aside form script style noscript template select button iframe textarea svg title menu dialog object canvas".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var br wbr".split())
 HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_BAD = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|menu|nav\w*|breadcrumbs?|footer|header|masthead|comments?|disqus|replies|reply|cookies?|consent|notice|notification|alert|popup|modal|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommended|widget|toolbar|copyright|complementary|contentinfo|navigation)(?:$|[-_\s])", re.I)
+_BAD = re.compile(r"ads?|advert[^\W_]*|sponsor[^\W_]*|promo[^\W_]*|banner|sidebar|menu|nav[^\W_]*|breadcrumbs?|footer|header|masthead|comments?|disqus|replies|reply|cookies?|consent|notice|notification|alert|popup|modal|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommended|widget|toolbar|copyright|complementary|contentinfo|navigation")
+#: texts of other people: they may be longer than the story and are dropped all the same
+_ALIEN = re.compile(r"ads?|advert[^\W_]*|sponsor[^\W_]*|promo[^\W_]*|comments?|disqus|replies|reply|cookies?|consent|popup|modal|newsletter|subscribe|related|recommended")
+#: what may stand beside such a word in a class name that still names boilerplate (has-, with-, no-, post-, entry- may not)
+_PLAIN = frozenset("site main global top bottom left right primary secondary fixed sticky mobile desktop block box bar area container wrapper wrap inner outer list item items link links button buttons icon icons slot unit zone text message title posts stories articles thread form".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SELF = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",), "option": ("select",)}
 _PUNCT = re.compile(r"[.,;:!?。、，！？]")
 
 
+@functools.lru_cache(1 << 14)
+def named(marks: str, inside: bool) -> str:
+    """a for the name of an alien text, m for that of other boilerplate, by whole class, id and role names; headers inside an article or main are its own."""
+    kinds = ""
+    for name in marks.lower().split():
+        parts = [x for x in re.split("[-_]+", name) if x]
+        bad = [x for x in parts if _BAD.fullmatch(x)]
+        if bad and all(x in bad or x in _PLAIN or x.isdigit() for x in parts) and not (inside and set(bad) <= {"header", "masthead"}):
+            kinds += "a" if any(map(_ALIEN.fullmatch, bad)) else "m"
+    return kinds and min(kinds)
+
+
 def nodes(page: str):
-    """(path, dropped, text, block number) of each text node; path is a tuple of (tag, bad) from the root."""
+    """(path, text, block number) of each text node; path is a tuple of (tag, drop, marks) from the root, drop one of x (by tag), m and a (by name, and forms) or empty."""
     stack: list[tuple] = []
     block, raw, out = 0, None, []
     at = 0
@@ -71,17 +91,18 @@ def nodes(page: str):
                     del stack[j:]
                     break
         marks = " ".join(a[1] or a[2] or a[3] for a in _ATTR.findall(m[2])) if "=" in m[2] else ""
-        inner = tag == "header" and any(x[0] == "article" for x in stack)
-        stack.append((tag, (tag in DROP and not inner) or bool(marks and tag not in ("html", "body", "article", "main") and _BAD.search(marks)), marks))
+        inside = any(x[0] in ("article", "main") for x in stack)
+        drop = named(marks, inside) if marks and tag not in ("html", "body", "article", "main") else ""
+        if tag in DROP and not (tag == "header" and any(x[0] == "article" for x in stack)):
+            drop = "x" if tag != "form" else drop or "m"
+        stack.append((tag, drop, marks))
         if tag in RAW and not s.endswith("/>"):
             raw = tag
     return out
 
 
-def main_text(page: str | None) -> str:
-    if not page:
-        return ""
-    found = [(p, _html.unescape(t), b) for p, t, b in nodes(page) if not any(x[1] for x in p)]
+def select(found: list) -> tuple:
+    """Sizes by path, the paths with text, their sizes and punctuation a node, the threshold and the paths over it."""
     stats: dict = {}
     for p, t, _ in found:
         s = stats.setdefault(p, [0, 0, 0])
@@ -91,19 +112,49 @@ def main_text(page: str | None) -> str:
             s[1] += len(_PUNCT.findall(t))
             s[2] += 1
     paths = [p for p, s in stats.items() if s[2]]
-    if not paths:
-        return ""
     size, punct = [stats[p][0] / stats[p][2] for p in paths], [(1 + stats[p][1]) / stats[p][2] for p in paths]
     smooth = lambda v: [sum(v[max(0, i - 1) : i + 2]) / len(v[max(0, i - 1) : i + 2]) for i in range(len(v))]
     fused = [a * b for a, b in zip(smooth(size), smooth(punct), strict=True)]
-    least = 0.5 * sum(fused) / len(fused)
-    chosen = [p for p, f in zip(paths, fused, strict=True) if f >= least]
+    least = 0.5 * sum(fused) / max(1, len(fused))
+    return stats, paths, size, punct, least, [p for p, f in zip(paths, fused, strict=True) if f >= least]
+
+
+def held(chosen: list, stats: dict) -> dict:
+    """Selected text under each path."""
     weight: dict = {}
     for p in chosen:
         for k in range(len(p) + 1):
             weight[p[:k]] = weight.get(p[:k], 0) + stats[p][0]
-    total = weight[()]
-    box = max((p for p, w in weight.items() if w >= 0.6 * total and (not p or p[-1][0] not in INLINE and p[-1][0] not in ("p", "h1", "h2", "h3", "li"))), key=len)
+    return weight
+
+
+def holders(found: list) -> set:
+    """Marked elements that stay: outermost ones around a main, and, but for alien texts, around an article or most of the selected text."""
+    stats, paths, _, _, _, chosen = select(found)
+    weight, kept = held(chosen, stats), set()
+    for p in paths:
+        first = {n: next((k for k, x in enumerate(p) if x[0] == n), -1) for n in ("main", "article")}
+        outer = min((k for k in first.values() if k >= 0), default=-1)
+        for k, x in enumerate(p):
+            q = p[: k + 1]
+            if x[1] and (k < outer and (x[1] == "m" or first["main"] == outer) or x[1] == "m" and 2 * weight.get(q, 0) > weight[()]):
+                kept.add(q)
+    return kept
+
+
+def main_text(page: str | None) -> str:
+    if not page:
+        return ""
+    found = [(p, _html.unescape(t), b) for p, t, b in nodes(page) if not any(x[1] == "x" for x in p)]
+    if any(x[1] for p, _, _ in found for x in p):
+        kept = holders(found)
+        story = [f for f in found if not any(x[1] and f[0][: k + 1] not in kept for k, x in enumerate(f[0]))]
+        found = story if any(t.strip() for _, t, _ in story) else [f for f in found if not any(x[1] == "a" for x in f[0])]
+    stats, paths, size, punct, least, chosen = select(found)
+    if not paths:
+        return ""
+    weight = held(chosen, stats)
+    box = max((p for p, w in weight.items() if w >= 0.6 * weight[()] and (not p or p[-1][0] not in INLINE and p[-1][0] not in ("p", "h1", "h2", "h3", "li"))), key=len)
     ends = [k + 1 for k, x in enumerate(box) if x[0] in ("article", "main")]
     if ends:  # the article or main around the box, if what it adds is mostly headings or text that passes unsmoothed
         own = {p for p, a, b in zip(paths, size, punct, strict=True) if a * b >= least}

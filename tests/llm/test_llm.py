@@ -157,6 +157,23 @@ def test_html_ratios_decide():
     assert html_text.main_text(f"<body><div><a>Home</a> <a>Away</a></div><div class=content>{body}</div></body>") == want
 
 
+def test_html_class_names():
+    story = "<h1>Title</h1>" + "".join(f"<p>Paragraph {k} of the story, with a point.</p>" for k in range(9))
+    want = "\n".join(["Title", *(f"Paragraph {k} of the story, with a point." for k in range(9))])
+    for name in ("site has-sidebar", "content with-sidebar", "no-header", "nav-open", "sidebar-left", "menu", "widget", "search"):
+        assert html_text.main_text(f"<body><div class='{name}'><article>{story}</article></div></body>") == want, name
+        assert html_text.main_text(f"<body><div class='{name}'>{story}</div><footer>f</footer></body>") == want, name
+    assert html_text.main_text(f"<body><form id=f><div>{story}</div></form></body>") == want
+    for name in ("post-header", "entry-header", "header", "section-header"):
+        assert html_text.main_text(f"<body><article>{story.replace('<h1>', f'<div class={name}><h1>').replace('</h1>', '</h1></div>')}</article></body>") == want, name
+    for name in ("ad", "ad-slot", "site-footer", "comment-list", "cookie-notice", "related-posts", "share-buttons", "sidebar-left", "x main-nav"):
+        extra = f"<div class='{name}'><p>Something else, said by others.</p></div>"
+        assert html_text.main_text(f"<body><article>{story}{extra}</article></body>") == want, name
+    talk = "<div class=comments>" + "<p>A long comment, longer than all. </p>" * 60 + "</div>"
+    assert html_text.main_text(f"<body><div>{story}</div>{talk}</body>") == want
+    assert html_text.main_text("<body><div class=ad>Buy now, buy.</div></body>") == ""
+
+
 def test_ogg(spark, docs):
     got = {r.doc_id: r for r in ogg.decode_media(ogg.encode_media(docs[0])).collect()}
     for i, t, *_ in docs[1]:
