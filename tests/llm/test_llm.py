@@ -207,6 +207,23 @@ def test_licenses(spark, docs):
         assert r.base_labels == ",".join(sorted({v for _, v in at})) and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
 
 
+def test_license_notices(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    mit = "Copyright (c) 2020 Someone\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+    want = [
+        (gpl.format(3), "gpl-3"), (gpl.format(2), "gpl-2"), (gpl.replace("General", "Lesser General").format("2.1"), "lgpl"), (gpl.replace("General", "Affero General").format(3), ""),
+        ("under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "gpl-3"), ("GNU General Public License version 3", "gpl-3"),
+        ("version 2 of the GNU General Public License", "gpl-2"), ("GPL-3.0-or-later", "gpl-3"), ("either the GNU General Public License or the Apache License, Version 2.0", "apache-2"),
+        (mit, "mit"), (mit.replace("hereby granted", "granted"), "mit"), ("SPDX-License-Identifier: MIT", "mit"), ("Licensed under the Apache License, Version 1.1", ""), ("the Apache License 2.0", "apache-2"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "cc-by-nc"), ("Creative Commons Attribution 4.0 International", "cc-by"), ("Licensed under CC BY-SA 4.0.", "cc-by-sa"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2"), ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted", "isc"),
+        ("the permission of the general public to use this software, version 3, is free of charge", ""), ("a license to sail in any version 2 of the boat", ""),
+    ]
+    rows = [(k, f"{'some words before it ' * 9}{t}{' and some after it' * 9}") for k, (t, _) in enumerate(want)]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(t, got[k]) for k, (t, _) in enumerate(want)] == want
+
+
 @pytest.mark.parametrize(("n", "num"), [(3, 90), (5, 80), (1, 60)])
 def test_jaccard(spark, docs, n, num):
     sets = {}
