@@ -1,7 +1,8 @@
 """Every query of the library on the driver tables, with its SQL.
 
 Driver tables hold no proteins: texts are cleaned to the 20 amino letters, embeddings' first dimensions serve as
-coordinates, and events and lineitem stand in for scores. Whole tables and whole texts are read.
+coordinates, and events and lineitem stand in for scores. Whole tables and whole texts are read,
+but for letters_by_column: it counts the first 34 letters of each text, as its SQL does.
 """
 from strandframe.plans import motif, relational, structure
 

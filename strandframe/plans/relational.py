@@ -71,10 +71,17 @@ def calibrate(spark, d):
 
 
 def letters_by_column(spark, d):
+    """The first 34 letters of texts that have as many: the sum that its SQL states. letters_by_block counts whole texts."""
     s = _t(spark, d, "documents").select("lang", F.regexp_replace(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "[^ACDEFGHIKLMNPQRSTVWY]", "").alias("s")).filter(F.length("s") >= 34)
     return training.column_counts(s.select("lang", F.substring("s", 1, 34).alias("row")), "lang", "row")
 
 
+def letters_by_block(spark, d):
+    """Letters by column over every block of 34 letters of the whole texts; a last or only block that is shorter counts in the columns it has."""
+    s = _t(spark, d, "documents").select("lang", F.regexp_replace(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "[^ACDEFGHIKLMNPQRSTVWY]", "").alias("s"))
+    return training.column_counts(s.select("lang", F.explode(F.regexp_extract_all("s", F.lit("(.{1,34})"), F.lit(1))).alias("row")), "lang", "row")
+
+
 def correlation(spark, d):
     return _t(spark, d, "lineitem").groupBy("l_linestatus").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("r"))
 
@@ -135,7 +142,7 @@ def evidence_scores(spark, d):
 _TX = "regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g')"
 _NT = "SELECT doc_id, translate(regexp_replace(text, '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS nt FROM documents"
 _XYZ = "SELECT vec_id, label, CAST(round(CAST(embedding[1] AS DOUBLE) * 1000) AS BIGINT) AS x, CAST(round(CAST(embedding[2] AS DOUBLE) * 1000) AS BIGINT) AS y, CAST(round(CAST(embedding[3] AS DOUBLE) * 1000) AS BIGINT) AS z FROM embeddings"
-QUERIES = {f.__name__: f for f in (remove_dupes, get_labelled, get_unlabelled, accessions, six_frames, reverse_complements, fev_roundtrip, score_bins, first_fp, quartiles, gumbel_moments, calibrate, letters_by_column, correlation, neighbour_counts, chain_steps, hse_pivot, hierarchy_rollup, single_linkage, top_k, annotate_scores, evidence_scores)}
+QUERIES = {f.__name__: f for f in (remove_dupes, get_labelled, get_unlabelled, accessions, six_frames, reverse_complements, fev_roundtrip, score_bins, first_fp, quartiles, gumbel_moments, calibrate, letters_by_column, letters_by_block, correlation, neighbour_counts, chain_steps, hse_pivot, hierarchy_rollup, single_linkage, top_k, annotate_scores, evidence_scores)}
 SQL = {
     "remove_dupes": "SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text",
     "get_labelled": "SELECT doc_id, CAST(length(text) AS INTEGER) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
@@ -150,6 +157,7 @@ SQL = {
     "gumbel_moments": "WITH h AS (SELECT CAST(floor(l_quantity) AS BIGINT) AS bin, count(*) AS n FROM lineitem GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(bin * n) / sum(n), 6) AS mean, (SELECT bin FROM h ORDER BY n DESC, bin LIMIT 1) AS mode FROM h",
     "calibrate": "SELECT l_suppkey, least(CAST(floor(l_quantity / 5) AS BIGINT), 50) AS bin, count(*) AS n FROM lineitem GROUP BY 1, 2",
     "letters_by_column": f"WITH s AS (SELECT lang, left({_TX}, 34) AS w FROM documents WHERE length({_TX}) >= 34), p AS (SELECT lang, w, unnest(range(1, 35)) AS col FROM s) SELECT lang, CAST(col AS INTEGER) AS col, substr(w, col, 1) AS aa, count(*) AS n FROM p GROUP BY ALL",
+    "letters_by_block": f"WITH s AS (SELECT lang, {_TX} AS w FROM documents), p AS (SELECT lang, unnest(string_split(w, '')) AS aa, unnest(range(len(w))) AS i FROM s WHERE w <> '') SELECT lang, CAST(i % 34 + 1 AS INTEGER) AS col, aa, count(*) AS n FROM p GROUP BY ALL",
     "correlation": "SELECT l_linestatus, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY 1",
     "neighbour_counts": f"WITH p AS ({_XYZ}) SELECT a.vec_id, count(b.vec_id) AS n FROM p a LEFT JOIN p b ON a.label = b.label AND a.vec_id <> b.vec_id AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) <= 62500 GROUP BY 1",
     "chain_steps": f"WITH p AS ({_XYZ}), s AS (SELECT vec_id, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy, z - lag(z) OVER w AS dz FROM p WINDOW w AS (PARTITION BY label ORDER BY vec_id)) SELECT vec_id, dx*dx + dy*dy + dz*dz AS d2 FROM s",

@@ -75,3 +75,23 @@ def test_smith_waterman():
     best, start, end, path = align.smith_waterman(s)
     assert (best, start, end, path) == (14.0, (0, 1), (4, 5), "MMMM")
     assert align.global_align(np.array([[1.0]])) == 1.0
+
+
+def test_letters_of_whole_texts(spark, tmp_path):
+    import collections
+
+    import duckdb
+
+    from strandframe.plans import registry
+
+    texts = [("a", "Acd-x " * 50), ("a", "k" * 34), ("a", "w" * 33), ("b", "Y1b\ny"), ("b", ""), (None, "M" * 69), ("b", None)]
+    spark.createDataFrame(texts, "lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = collections.Counter()
+    for lang, text in texts:
+        for i, aa in enumerate(x for x in (text or "").upper() if x in "ACDEFGHIKLMNPQRSTVWY"):
+            want[lang, i % 34 + 1, aa] += 1
+    got = registry.queries()["letters_by_block"](spark, str(tmp_path)).collect()
+    assert {tuple(r)[:3]: r.n for r in got} == want and len(got) == len(want)
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert {r[:3]: r[3] for r in db.sql(registry.oracle_sql()["letters_by_block"]).fetchall()} == want
