@@ -166,9 +166,22 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
 
 
 def keep_one(docs: DataFrame, **kw) -> DataFrame:
-    """docs without all but the smallest doc_id of each component."""
-    c = jaccard_components(docs, **kw).filter("doc_id <> component_id").select(F.col("doc_id").alias("d_")).distinct()
-    return docs.join(c, docs.doc_id == c.d_, "left_anti")
+    """docs with one row of each component, of the smallest doc_id (null ids last); rows without shingles all stay.
+
+    A row is known by a hash of its doc_id and text, so that null and repeated ids obey the decision too."""
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
+    c = materialize(jaccard_components(docs.select(key.alias("doc_id"), "text"), **kw).filter("n_shingles > 0").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "jaccard-keys")
+    many = c.join(c.groupBy("component_id").agg(F.sum("n").alias("rows")).filter("rows > 1").select("component_id"), "component_id", "left_semi")
+    ids = docs.select(key.alias("key"), "doc_id").distinct()
+    best = many.select(F.col("doc_id").alias("key"), "component_id", "n").join(ids, "key").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "n")).alias("b")).select("b.key", "b.n")
+    best = materialize(best, "jaccard-kept")
+    lost = many.select(F.col("doc_id").alias("key")).join(best, "key", "left_anti")
+    again = best.filter("n > 1").select("key")  # kept, but in several rows: one of them stays
+    out = docs.withColumn("key_", key)
+    drop = lost.unionByName(again).withColumnRenamed("key", "k_")
+    rest = out.join(drop, F.col("key_") == F.col("k_"), "left_anti")
+    one = out.join(again, F.col("key_") == F.col("key"), "left_semi").dropDuplicates(["key_"])
+    return rest.unionByName(one).drop("key_")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

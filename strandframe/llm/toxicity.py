@@ -22,6 +22,7 @@ from ._words import ALNUM, LOWER, chunks, word_hash, words
 
 SEED = "idiot idiots stupid moron morons loser losers scum trash clown pathetic worthless disgusting dumb imbecile fool hate filthy vermin bastard".split()
 MAX_ROWS = 40_000
+LIMIT = 0.7
 STEMS = (4, 5, 6)
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -177,7 +178,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, k), b.column(2).slice(i, k), pa.array(s)], names=["doc_id", "held_out", "score"])
 
     out = docs.select(F.col("doc_id").cast("long"), "text", held().alias("held_out")).select("doc_id", "text", "held_out").mapInArrow(run, "doc_id long, held_out boolean, score double")
-    return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+    return out.withColumn("predicted", (F.col("score") >= LIMIT).cast("int"))
 
 
 def _stem_table(items):
@@ -187,8 +188,19 @@ def _stem_table(items):
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    bad = score(docs, train(docs, labels)).filter("predicted = 1").select(F.col("doc_id").alias("d_")).distinct()
-    return docs.join(bad, docs.doc_id == bad.d_, "left_anti")
+    """docs without the rows predicted toxic; each row is judged by its own text, whatever its doc_id."""
+    model = train(docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast((Voters(model.names), model.w, model.b))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        vote, w, bias = shared.value
+        for b in batches:
+            for i, k, votes in vote(b.column(at)):
+                s = 1 / (1 + np.exp(-(votes @ w + bias)))
+                yield b.slice(i, k).filter(pa.array(s < LIMIT))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", round
     seen = None
     for _ in range(rounds):
         e = _kept(_star(_kept(_star(e, True).filter("u <> v").distinct()), False).filter("u <> v").distinct())
-        now = tuple(e.agg(F.count("*"), F.sum("v"), F.sum(F.hash("u", "v").cast("long"))).first())
+        now = tuple(e.agg(F.count("*"), F.sum(F.col("v").cast("decimal(20,0)")), F.sum(F.hash("u", "v").cast("long"))).first())
         if now == seen:
             break
         seen = now

@@ -241,6 +241,20 @@ def test_jaccard(spark, docs, n, num):
     assert jaccard_join.keep_one(docs[0], n=n, num=num).count() == len(set(comp.values()))
 
 
+def test_null_and_repeated_ids(spark, monkeypatch):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    near = text(0).replace("w0x39", "changed")
+    rows = [(5, text(0), "a"), (5, text(0), "a"), (None, text(0), "b"), (None, near, "c"), (4, near, "d"), (None, text(1), "e"), (None, text(1), "e"), (7, text(2), "f"), (7, text(2), "f"), (9, text(3), "g"), (9, text(4), "h"), (None, None, "i"), (None, None, "i"), (None, "", "j"), (8, "", "k"), (8, "", "k")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(map(tuple, jaccard_join.keep_one(d, n=3, num=80, den=100).collect()), key=str)
+    assert got == sorted([(4, near, "d"), (None, text(1), "e"), (7, text(2), "f"), (9, text(3), "g"), (9, text(4), "h"), *rows[11:]], key=str)
+
+    model = toxicity.Model(["idiot"], np.array([9.0, 0, 0, 0]), -4.0)
+    monkeypatch.setattr(toxicity, "train", lambda *_: model)
+    bad = spark.createDataFrame([(1, "you idiot", 3), (None, "you idiot", 3), (None, "you there", 3), (2, None, 3), (2, "kind words", None)], "doc_id long, text string, n int")
+    assert sorted(map(tuple, toxicity.drop_toxic(bad, bad).collect()), key=str) == sorted([(None, "you there", 3), (2, None, 3), (2, "kind words", None)], key=str)
+
+
 def test_jaccard_empty(spark, docs):
     assert jaccard_join.jaccard_components(docs[0].limit(0)).count() == 0
     assert jaccard_join.jaccard_components(docs[0].filter("doc_id < 3")).count() == 3
