@@ -32,7 +32,7 @@ def grams(text: str) -> np.ndarray:
 def train(documents: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list, np.ndarray]:
     """Languages and smoothed log probabilities (language, bucket)."""
     rows = documents.filter("lang IS NOT NULL AND text IS NOT NULL")
-    langs = sorted(r[0] for r in rows.select("lang").distinct().limit(500).collect())
+    langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
     counts = np.full((len(langs), BUCKETS), 0.5)
     for k, lang in enumerate(langs):
         for (t,) in rows.filter(F.col("lang") == lang).select("text").orderBy(F.xxhash64("doc_id")).limit(max_rows).toLocalIterator():
@@ -40,6 +40,11 @@ def train(documents: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list, np.ndar
     return langs, np.log(counts / counts.sum(1, keepdims=True))
 
 
+def evidence(n: int, cap: float) -> float:
+    """Trigrams that n of them count as: each up to cap, a third of each beyond, as three trigrams share a byte; no bound."""
+    return n if n <= cap else cap + (n - cap) / 3
+
+
 def identify(pages: DataFrame, model: tuple, declared_weight: float = 0.9, smoothing: float = 5.0, text_cap: float = 40.0) -> DataFrame:
     """page_id, host, text_lang, declared, lang, p_lang; one row per page."""
     langs, logp = model
@@ -58,7 +63,7 @@ def identify(pages: DataFrame, model: tuple, declared_weight: float = 0.9, smoot
                 d = _TAG.search(h or "")
                 said.append(d[1].lower()[:2] if d else "")
                 g = grams(main_text(h))
-                s = logp[:, g].mean(1) * min(len(g), text_cap) if len(g) and langs else np.zeros(len(langs))
+                s = logp[:, g].mean(1) * evidence(len(g), text_cap) if len(g) and langs else np.zeros(len(langs))
                 text.append((s - s.max()).tolist() if len(s) else [])
             yield pa.RecordBatch.from_arrays([ids, pa.array(host), pa.array(suffix), pa.array(path), pa.array(said), pa.array(text, pa.list_(pa.float64()))], names=["page_id", "host", "suffix", "path", "said", "loglik"])
 

@@ -266,3 +266,18 @@ def test_language(spark):
     pages = [(1, "https://a.de/de/1", "<html lang='de'><p>und der Hund</p>"), (2, "https://b.com/x", "<p>and the dog, the fox</p>"), (3, None, None), (4, "https://a.de/", "")]
     got = {r.page_id: r for r in language_id.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), model).collect()}
     assert got[1].lang == "de" and got[2].lang == "en" and got[4].lang == "de" and len(got) == 4 and 0 < got[3].p_lang <= 1
+
+
+def test_long_text_outvotes_the_markup(spark):
+    line = "the quick brown fox and the dog and a cat ran over to the old mill "
+    train = [(i, line * 4 + ("to see it" if i % 2 else "to sea et"), "en" if i % 2 else "de") for i in range(20)]
+    model = language_id.train(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    body = (line * 4 + "to see it ") * 40
+    pages = [(1, "https://a.de/de/1", f"<html lang='de'><p>{body}</p>"), (2, "https://a.de/de/2", f"<html lang='de'><p>{body[:60]}</p>")]
+    got = {r.page_id: r.lang for r in language_id.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), model).collect()}
+    assert got == {1: "en", 2: "de"}
+
+
+def test_more_than_500_languages(spark):
+    d = spark.createDataFrame([(i, "some text", f"l{i:03}") for i in range(502)], "doc_id long, text string, lang string").coalesce(1).cache()
+    assert language_id.train(d)[0] == [f"l{i:03}" for i in range(502)]
