@@ -125,6 +125,12 @@ def single_linkage(spark, d):
     return connected_components(e).withColumnRenamed("id", "node")
 
 
+def order_linkage(spark, d):
+    """Components of customers and their orders by the real keys: many, where single_linkage has one."""
+    e = _t(spark, d, "orders").select((F.col("o_custkey") * 2).alias("u"), (F.col("o_orderkey") * 2 + 1).alias("v"))
+    return connected_components(e).withColumnRenamed("id", "node")
+
+
 def top_k(spark, d):
     w = Window.partitionBy("l_returnflag").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber")
     return _t(spark, d, "lineitem").withColumn("r", F.row_number().over(w)).filter("r <= 10").select("l_returnflag", "l_orderkey", "l_linenumber", "r")
@@ -142,7 +148,7 @@ def evidence_scores(spark, d):
 _TX = "regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g')"
 _NT = "SELECT doc_id, translate(regexp_replace(text, '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS nt FROM documents"
 _XYZ = "SELECT vec_id, label, CAST(round(CAST(embedding[1] AS DOUBLE) * 1000) AS BIGINT) AS x, CAST(round(CAST(embedding[2] AS DOUBLE) * 1000) AS BIGINT) AS y, CAST(round(CAST(embedding[3] AS DOUBLE) * 1000) AS BIGINT) AS z FROM embeddings"
-QUERIES = {f.__name__: f for f in (remove_dupes, get_labelled, get_unlabelled, accessions, six_frames, reverse_complements, fev_roundtrip, score_bins, first_fp, quartiles, gumbel_moments, calibrate, letters_by_column, letters_by_block, correlation, neighbour_counts, chain_steps, hse_pivot, hierarchy_rollup, single_linkage, top_k, annotate_scores, evidence_scores)}
+QUERIES = {f.__name__: f for f in (remove_dupes, get_labelled, get_unlabelled, accessions, six_frames, reverse_complements, fev_roundtrip, score_bins, first_fp, quartiles, gumbel_moments, calibrate, letters_by_column, letters_by_block, correlation, neighbour_counts, chain_steps, hse_pivot, hierarchy_rollup, single_linkage, order_linkage, top_k, annotate_scores, evidence_scores)}
 SQL = {
     "remove_dupes": "SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text",
     "get_labelled": "SELECT doc_id, CAST(length(text) AS INTEGER) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
@@ -166,4 +172,5 @@ SQL = {
     "top_k": "SELECT l_returnflag, l_orderkey, l_linenumber, CAST(r AS INTEGER) AS r FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r <= 10",
     "annotate_scores": "SELECT CASE WHEN l_discount * 20 >= 1 THEN '|' WHEN l_discount * 20 >= 0.5 THEN '+' WHEN l_discount * 20 > 0 THEN '.' ELSE ' ' END AS mark, count(*) AS n FROM lineitem GROUP BY 1",
     "single_linkage": "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey * 2 AS u, o_orderkey % 997 * 2 + 1 AS v FROM orders), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(node, lab) AS (SELECT (SELECT min(u) FROM b), (SELECT min(u) FROM b) UNION SELECT b.v, r.lab FROM r JOIN b ON b.u = r.node) SELECT node, lab AS component FROM r",
+    "order_linkage": "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey * 2 AS u, o_orderkey * 2 + 1 AS v FROM orders), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(node, lab) AS (SELECT u, u FROM b UNION SELECT b.v, r.lab FROM r JOIN b ON b.u = r.node) SELECT node, min(lab) AS component FROM r GROUP BY node",
 }

@@ -95,3 +95,16 @@ def test_letters_of_whole_texts(spark, tmp_path):
     db = duckdb.connect()
     db.sql(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert {r[:3]: r[3] for r in db.sql(registry.oracle_sql()["letters_by_block"]).fetchall()} == want
+
+
+def test_linkage_of_many_and_long_components(spark, tmp_path):
+    import duckdb
+
+    from strandframe.plans import registry
+
+    pairs = [(c, c + k) for c in range(0, 90, 3) for k in (0, 1)] + [(c, c - 1) for c in range(3, 30, 3)] + [(200 + k, 300 + k + j) for k in range(40) for j in (0, 1)]
+    spark.createDataFrame(pairs, "o_custkey long, o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    got = sorted(map(tuple, registry.queries()["order_linkage"](spark, str(tmp_path)).collect()))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW orders AS FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert got == sorted(db.sql(registry.oracle_sql()["order_linkage"]).fetchall()) and len({c for _, c in got}) > 20
