@@ -1,11 +1,14 @@
 """Scratch space every executor can reach, and plan-size helpers."""
+import gc
 import uuid
 
 
 def shared_dir(spark) -> str:
-    """Folder of spark.checkpoint.dir; set to a local one only where it is unset (tests)."""
+    """Folder of spark.checkpoint.dir, which all executors share; where it is unset (tests on one machine) a folder of this machine is set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file:///tmp/checkpoints"
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -19,7 +22,23 @@ def materialize(df, name: str):
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark, at = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.scratch_at = at
+    return out
+
+
+def discard(*tables) -> None:
+    """Delete materialized tables that nothing reads any more, and let go the shuffle files of finished queries.
+
+    Spark deletes a shuffle's files when the driver collects the garbage that refers to them, which may be hours later."""
+    for df in tables:
+        jvm, spark = df.sparkSession._jvm, df.sparkSession
+        path = jvm.org.apache.hadoop.fs.Path(df.scratch_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        del df
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def table(spark, sf_dir: str, name: str):
