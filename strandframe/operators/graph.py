@@ -5,10 +5,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def _folder(spark) -> str:
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return at or "file:///tmp/checkpoints"
+
+
+def _kept(df: DataFrame, old: list) -> DataFrame:
+    """Write df to the shared folder and read it back; the two tables before it are no longer read and go."""
     spark = df.sparkSession
-    at = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints'}/graph-{uuid.uuid4().hex}"
+    at = f"{_folder(spark)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    old.append(at)
+    while len(old) > 2:
+        path = spark._jvm.org.apache.hadoop.fs.Path(old.pop(0))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return spark.read.schema(df.schema).parquet(at)
 
 
@@ -20,15 +32,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return hung if large else hung.unionByName(low.select("u", F.col("m").alias("v")))
 
 
-def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", rounds: int = 60) -> DataFrame:
-    """id, component (smallest id reachable) of every end of an edge. Null ends and loops are left out."""
-    e = _kept(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+def connected_components(edges: DataFrame, src: str = "u", dst: str = "v") -> DataFrame:
+    """id, component (smallest id reachable) of every end of an edge. Null ends and loops are left out.
+
+    Steps go on until none changes the graph: their number grows with the logarithm of the longest path."""
+    old: list = []
+    e = _kept(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), old)
     if not e.take(1):
         return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     seen = None
-    for _ in range(rounds):
-        e = _kept(_star(_kept(_star(e, True).filter("u <> v").distinct()), False).filter("u <> v").distinct())
-        now = tuple(e.agg(F.count("*"), F.sum(F.col("v").cast("decimal(20,0)")), F.sum(F.hash("u", "v").cast("long"))).first())
+    while True:
+        e = _kept(_star(_kept(_star(e, True).filter("u <> v").distinct(), old), False).filter("u <> v").distinct(), old)
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if now == seen:
             break
         seen = now
