@@ -1,7 +1,8 @@
 """Operator 3: mixing sources to target weights, by DataFrame functions only.
 
 Golden-ratio points fall into the sources' cumulative shares; a slot's rank within its source names the equal-token
-block it takes of that source's shuffled stream, which repeats up to `most` times. Null texts have size 0 and are
+block it takes of that source's shuffled stream, which repeats up to `most` times. What a source gives is what the
+points ask of it: a few blocks more or less than its target. Sources are few: their table is ordered in one task. Null texts have size 0 and are
 never taken; a null source is a source of its own, last in order; repeated rows are rows of their own; an empty
 table gives no rows. Reruns agree: the shuffle is a hash of doc_id.
 """
@@ -44,60 +45,80 @@ def targets(sizes: DataFrame, most: float = 3.0, weights=(1, 2, 3)) -> DataFrame
     return w.select("source", "source_size", F.coalesce(F.least("cap", F.col("L") * F.col("w")), F.col("cap")).alias("target"))
 
 
-def schedule(shares: DataFrame, block: int = BLOCK) -> DataFrame:
-    """source, rank, slot: as many slots as each source's target needs, in the order of the golden-ratio points."""
+def block_words(shares: DataFrame, most: int = BLOCK, parts: int = 200) -> int:
+    """Words a block: at most `most`, and small enough that the least target is `parts` blocks."""
+    least = shares.filter("target > 0").agg(F.min("target")).first()[0] or 0
+    return int(max(8, min(most, least // parts)))
+
+
+def schedule(shares: DataFrame, block: int) -> DataFrame:
+    """slot, source, rank: slot k's source is the one in whose share of [0, 1) the k-th golden-ratio point falls; rank counts the source's slots so far."""
     spark = shares.sparkSession
-    t = shares.withColumn("want", F.ceil(F.round("target") / block)).filter("want > 0")
+    t = shares.filter("target > 0").withColumn("want", F.col("target") / block)
     order = Window.orderBy(F.col("source").asc_nulls_last())
     t = t.withColumn("hi", F.sum("want").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    total = t.agg(F.coalesce(F.sum("want"), F.lit(0))).first()[0]
-    t = t.select("source", "want", ((F.col("hi") - F.col("want")) / max(total, 1)).alias("lo"), (F.col("hi") / max(total, 1)).alias("hi"))
-    cells = t.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))))
-    points = spark.range(total).select(F.col("id").alias("slot"), F.expr(f"(id + 1) * {GOLDEN}D - floor((id + 1) * {GOLDEN}D)").alias("u"))
-    points = points.withColumn("cell", F.floor(F.col("u") * CELLS))
-    own = points.join(cells, "cell").filter("u >= lo AND u < hi").select("source", "want", "slot", F.floor(F.col("slot") / 4096).alias("part"))
+    whole, n = t.agg(F.coalesce(F.max("hi"), F.lit(0.0)), F.count("*")).first()
+    t = t.select("source", ((F.col("hi") - F.col("want")) / max(whole, 1.0)).alias("lo"), (F.col("hi") / max(whole, 1.0)).alias("hi"))
+    many = max(CELLS, 4 * n)  # cells of [0, 1) in which points and shares meet
+    cells = t.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * many), F.least(F.floor(F.col("hi") * many), F.lit(many - 1)))))
+    points = spark.range(-int(-whole // 1)).select(F.col("id").alias("slot"), F.expr(f"(id + 1) * {GOLDEN}D - floor((id + 1) * {GOLDEN}D)").alias("u"))
+    points = points.withColumn("cell", F.floor(F.col("u") * many))
+    own = points.join(cells, "cell").filter("u >= lo AND u < hi").select("source", "slot", F.floor(F.col("slot") / 4096).alias("part"))
     counts = own.groupBy("source", "part").count()
     counts = counts.withColumn("before", F.sum("count").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     in_part = own.withColumn("i", F.row_number().over(Window.partitionBy("source", "part").orderBy("slot")) - 1)
-    got = _join(in_part, counts.drop("count"), ["source", "part"]).select("source", "want", (F.coalesce("before", F.lit(0)) + F.col("i")).alias("rank"), "slot").filter("rank < want")
-    # points differ from the shares by a few slots: what a source still wants comes at the end
-    sums = counts.groupBy("source").agg(F.sum("count").alias("n"))
-    rest = _join(t, sums, ["source"], "left").select("source", "want", F.coalesce("n", F.lit(0)).alias("had")).filter("had < want")
-    rest = rest.select("source", "want", F.explode(F.sequence(F.col("had"), F.col("want") - 1)).alias("rank"), F.lit(total).alias("slot"))
-    return got.unionByName(rest).select("source", "rank", "slot")
+    return _join(in_part, counts.drop("count"), ["source", "part"]).select("slot", "source", (F.coalesce("before", F.lit(0)) + F.col("i")).alias("rank"))
 
 
-def mix(docs: DataFrame, most: int = 3, block: int = BLOCK, seed: int = 17) -> DataFrame:
-    """docs' doc_id and source with size, source_size, target and taken (words, repeats counted), one row per row."""
+def place(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Each row's place in its source's shuffled stream (source, bucket, nth, at), and the sizes."""
     sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id", F.lit(seed)).alias("h"))
     sizes = materialize(sizes, "mix-sizes")
-    n = sizes.count()
-    buckets = max(64, n // 2000)
-    shares = materialize(targets(sizes, most), "mix-targets")
+    buckets = max(64, sizes.count() // 2000)
     s = sizes.withColumn("bucket", F.pmod("h", F.lit(buckets)))
     sums = s.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     sums = sums.select("source", "bucket", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     inner = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size")
     placed = s.withColumn("own", F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")).withColumn("nth", F.row_number().over(inner))
-    placed = _join(placed, sums, ["source", "bucket"]).withColumn("at", F.col("base") + F.col("own"))
-    placed = materialize(_join(placed, shares, ["source"]).select("doc_id", "source", "size", "bucket", "nth", "at", "source_size", "target"), "mix-placed")
-    slots = schedule(shares, block)
-    # pass p of the stream: [at + p * source_size, + size), cut at the target and dealt to blocks
-    runs = placed.filter("size > 0").withColumn("goal", F.round("target").cast("long")).select("*", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("p"))
-    runs = runs.withColumn("lo", F.col("at") + F.col("p") * F.col("source_size")).withColumn("hi", F.least(F.col("lo") + F.col("size"), "goal")).filter("lo < hi")
-    pieces = runs.select("source", "bucket", "nth", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))).alias("rank"))
-    pieces = pieces.withColumn("words", F.least("hi", (F.col("rank") + 1) * block) - F.greatest("lo", F.col("rank") * block))
-    took = _join(pieces, slots.select("source", "rank"), ["source", "rank"]).groupBy("source", "bucket", "nth").agg(F.sum("words").alias("taken"))
+    return _join(placed, sums, ["source", "bucket"]).withColumn("at", F.col("base") + F.col("own")), sizes
+
+
+def stream(docs: DataFrame, most: int = 3, block: int | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+    """The mix as pieces in order (slot, at): source, rank, doc_id, start and words of the piece; and the placed rows.
+
+    Pass p of a source's stream has its row at [at + p * source_size, + size); block r is its words [r * block, (r + 1) * block)."""
+    at, sizes = place(docs, seed)
+    shares = materialize(targets(sizes, most), "mix-targets")
+    block = block or block_words(shares)
+    slots = materialize(schedule(shares, block), "mix-slots")
+    shares = _join(shares, slots.groupBy("source").agg(F.count("*").alias("slots")), ["source"], "left")
+    placed = materialize(_join(at, shares, ["source"]).select("doc_id", "source", "size", "bucket", "nth", "at", "source_size", "target", F.coalesce("slots", F.lit(0)).alias("slots")), "mix-placed")
+    runs = placed.filter("size > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("p"))
+    runs = runs.withColumn("lo", F.col("at") + F.col("p") * F.col("source_size")).withColumn("hi", F.least(F.col("lo") + F.col("size"), F.col("slots") * block)).filter("lo < hi")
+    pieces = runs.select("source", "bucket", "nth", "doc_id", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))).alias("rank"))
+    first = F.greatest("lo", F.col("rank") * block)
+    pieces = pieces.select("source", "rank", "bucket", "nth", "doc_id", first.alias("at"), (first - F.col("lo")).alias("start"), (F.least("hi", (F.col("rank") + 1) * block) - first).alias("words"))
+    return _join(pieces, slots, ["source", "rank"]), placed
+
+
+def mix(docs: DataFrame, **kw) -> DataFrame:
+    """docs' doc_id and source with size, source_size, target and taken (words of the stream, repeats counted), one row per row."""
+    pieces, placed = stream(docs, **kw)
+    took = pieces.groupBy("source", "bucket", "nth").agg(F.sum("words").alias("taken"))
     return _join(placed, took, ["source", "bucket", "nth"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def repeat_taken(docs: DataFrame, **kw) -> DataFrame:
     """Whole documents: each as many times as the mix takes its words, rounded. Sizeless documents stay once."""
-    m = mix(docs, **kw).groupBy("doc_id", "source", "size").agg(F.max(F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size")))).cast("int").alias("times_"))
+    mark = "_"
+    while any(c.lower().endswith(mark) for c in docs.columns):  # names that no column of docs has
+        mark += "_"
+    d, s, z, times, again = (x + mark for x in ("d", "s", "z", "times", "again"))
+    m = mix(docs.select("doc_id", "source", "text"), **kw).groupBy("doc_id", "source", "size").agg(F.max(F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size")))).cast("int").alias(times))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    m = m.select(F.col("doc_id").alias("d_"), F.col("source").alias("s_"), F.col("size").alias("z_"), "times_")
-    out = docs.join(m, docs.doc_id.eqNullSafe(m.d_) & docs.source.eqNullSafe(m.s_) & (size == F.col("z_")))
-    return out.select(*[docs[c] for c in docs.columns], F.expr("explode(array_repeat(0, times_))").alias("again_")).drop("again_")
+    m = m.select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(z), times)
+    out = docs.join(m, docs.doc_id.eqNullSafe(m[d]) & docs.source.eqNullSafe(m[s]) & (size == m[z]))
+    return out.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), m[times])).alias(again)).drop(again)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

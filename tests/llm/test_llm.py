@@ -93,7 +93,7 @@ def test_mixing(spark, docs):
         left = sum(size.values()) - sum(full.values())
     for s in order:
         want = full.get(s, left * w[s] / sum(w[x] for x in rest))
-        assert abs(target[s] - want) < 1e-6 * (1 + want) and abs(taken[s] - want) <= 1
+        assert abs(target[s] - want) < 1e-6 * (1 + want) and abs(taken[s] - want) <= 3 * 8  # a few blocks: what the points ask of the source
     assert mixing.mix(docs[0].limit(0)).count() == 0
 
 
