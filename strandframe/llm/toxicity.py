@@ -1,14 +1,15 @@
 """Operator 5: toxicity by weak supervision.
 
-Voters are insults of a seed lexicon, words and word beginnings found by their odds in labelled training rows, and
-style patterns. A generative label model (expectation maximisation, one accuracy pair per voter) is fitted with the
-voters' correlations measured on the same rows: a voter that moves with others is weighted by its share. A linear
-classifier is then trained on the posterior labels, with the given labels as one more voter. Odds and models are fitted
-on at most `max_rows` labelled rows, never a held-out one; only voters and distinct vote patterns reach the driver.
-Scoring reads every whole text.
+Voters are insults of a seed lexicon, a lexicon of words and word beginnings mined from labelled training rows, and
+style patterns; a voter fires or abstains. A generative label model (expectation maximisation; the given label is one
+more voter of unknown accuracy) estimates how often each fires on toxic and on other texts, and the correlations of
+voters within either class: one that fires with others is weighted by its share. A linear classifier is trained on the posterior labels; it sees the
+voters and further words and beginnings that go with the posterior, so texts on which no voter fires are told apart
+too. The given labels then only calibrate its scores. All is fitted on at most `max_rows` labelled rows, never a
+held-out one; only voters and distinct vote patterns reach the driver. Scoring reads every whole text.
 
 Null or empty texts get the prior; a null doc_id is not held out; labels of unknown documents are ignored; repeated
-rows are scored alike; without training rows the seed lexicon alone decides.
+rows are scored alike; without training rows the seed lexicon alone decides; an empty table gives no rows.
 """
 import re
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import materialize, table
+from ._shared import discard, materialize, table
 from ._words import ALNUM, LOWER, chunks, word_hash, words
 
 SEED = "idiot idiots stupid moron morons loser losers scum trash clown pathetic worthless disgusting dumb imbecile fool hate filthy vermin bastard".split()
@@ -50,31 +51,68 @@ class Model:
         self.w = np.r_[np.full(len(names), 4.0), 0, 0, 0] if w is None else w
 
 
-def fit(v: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and bias from distinct vote rows v with label y, each met n times."""
-    x, n = v.astype(np.float32), n / n.sum()
-    # correlations: the share of a voter's evidence that is its own
-    mean = n @ x
-    sd = np.sqrt(mean - mean * mean) + 1e-9
-    corr = np.abs(((x * n[:, None].astype(np.float32)).T @ x - np.outer(mean, mean)) / np.outer(sd, sd))
-    share = 1 / np.maximum(1, (corr * (corr > 0.3)).sum(0))
-    post, few = 0.1 + 0.8 * y, 1e-5
-    for _ in range(15):  # accuracies given posteriors, posteriors given accuracies; the label is a voter too
-        q1, q0 = n * post, n * (1 - post)
-        p1, p0 = (q1 @ x + few / 2) / (q1.sum() + few), (q0 @ x + few / 2) / (q0.sum() + few)
-        l1, l0 = (q1 @ y + few) / (q1.sum() + 2 * few), (q0 @ y + few) / (q0.sum() + 2 * few)
-        z = np.log(q1.sum() / q0.sum()) + x @ (np.log(p1 / p0) * share) + np.where(y > 0, np.log(l1 / l0), np.log((1 - l1) / (1 - l0)))
-        post = np.clip(1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.001, 0.999)
-    w, b = np.zeros(x.shape[1]), 0.0
-    g2, gb2 = np.full(len(w), 1e-8), 1e-8
-    for _ in range(400):  # logistic regression on the posterior labels
-        e = n * (1 / (1 + np.exp(-(x @ w + b))) - post)
-        g, gb = e @ x + 1e-5 * w, e.sum()
+class LabelModel:
+    """Fitted on distinct vote rows v, each met n times, y of them with label 1: P(fires | class) of each voter, its own share of the evidence and the prior.
+
+    The label is one more voter of unknown accuracy: from lexicon and pattern votes alone the two classes come out as languages."""
+
+    def __init__(self, v: np.ndarray, n: np.ndarray, y: np.ndarray):
+        v, y, n = np.r_[v, v], np.r_[np.ones(len(n)), np.zeros(len(n))], np.r_[y, n - y]
+        v, y, n = v[n > 0], y[n > 0], n[n > 0] / n.sum()
+        x, few = v.astype(np.float32), 1e-5
+        post = 0.1 + 0.8 * y
+        for step in range(15):
+            q1, q0 = n * post, n * (1 - post)
+            self.p1, self.p0 = (q1 @ x + few / 2) / (q1.sum() + few), (q0 @ x + few / 2) / (q0.sum() + few)
+            l1, l0 = (q1 @ y + few) / (q1.sum() + 2 * few), (q0 @ y + few) / (q0.sum() + 2 * few)
+            if step % 5 == 0:  # correlations given the class
+                corr = np.maximum(*(self.correlation(x, w / w.sum()) for w in (q1, q0)))
+                share = 1 / np.maximum(1, (corr * (corr > 0.5)).sum(0))
+            self.w, self.b = share * np.log(self.p1 / self.p0), float(np.log(q1.sum() / q0.sum()))
+            said = np.where(y > 0, np.log(l1 / l0), np.log((1 - l1) / (1 - l0)))
+            post = self(v, said)
+        self.said = float(np.log(l1 / l0)), float(np.log((1 - l1) / (1 - l0)))
+
+    @staticmethod
+    def correlation(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+        mean = n @ x
+        sd = np.sqrt(np.maximum(mean - mean * mean, 0)) + 1e-6
+        return np.abs(((x * n[:, None].astype(np.float32)).T @ x - np.outer(mean, mean)) / np.outer(sd, sd))
+
+    def __call__(self, v: np.ndarray, said: np.ndarray) -> np.ndarray:
+        """The posterior of vote rows, with what their labels add."""
+        return np.clip(_sigmoid(v @ self.w + self.b + said), 0.001, 0.999)
+
+    def mean(self, v: np.ndarray, rate: np.ndarray) -> np.ndarray:
+        """The posterior of rows of which a share has label 1."""
+        return rate * self(v, self.said[0]) + (1 - rate) * self(v, self.said[1])
+
+
+def _sigmoid(z):
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def descend(row, col, width: int, y: np.ndarray, n: np.ndarray, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression on soft labels y of rows met n times; (row, col) are the features that are on."""
+    w, b, n = np.zeros(width), 0.0, n / n.sum()
+    g2, gb2 = np.full(width, 1e-8), 1e-8
+    for _ in range(steps):
+        e = n * (_sigmoid(np.bincount(row, w[col], len(y)) + b) - y)
+        g, gb = np.bincount(col, e[row], width) + 1e-5 * w, e.sum()
         g2, gb2 = g2 + g * g, gb2 + gb * gb
         w, b = w - 0.5 * g / np.sqrt(g2), b - 0.5 * gb / np.sqrt(gb2)
     return w, float(b)
 
 
+def calibrate(z: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Slope and offset that fit the scores z to the labels' rates y."""
+    a, b, n = 1.0, 0.0, n / n.sum()
+    for _ in range(300):
+        e = n * (_sigmoid(a * z + b) - y)
+        a, b = max(0.2, a - 0.5 * float(e @ z) / max(1.0, float(n @ (z * z)) / 4)), b - 0.5 * float(e.sum())
+    return a, b
+
+
 def key_counts(rows: DataFrame, most: int = 300_000) -> DataFrame:
     """key, bad, good: toxic and other rows that hold each word or stem. A task's counts are merged before they leave it."""
 
@@ -97,11 +135,11 @@ def key_counts(rows: DataFrame, most: int = 300_000) -> DataFrame:
     return rows.select("text", "toxic").mapInArrow(run, "key string, bad long, good long").groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
-def find_voters(rows: DataFrame, voters: int = 400, lift: float = 12.0) -> list[str]:
+def find_voters(rows: DataFrame, voters: int = 400, lift: float = 12.0, least: int = 4) -> list[str]:
     """Seed words, and the `voters` strongest of the keys whose odds reach `lift` over all rows."""
     n1, n0 = (int(x or 0) + 1 for x in rows.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
     odds = ((F.col("bad") + 0.5) / n1) / ((F.col("good") + 0.5) / n0)
-    found = key_counts(rows).filter(F.col("bad") >= max(4, 0.002 * n1)).withColumn("odds", odds).filter(F.col("odds") >= lift)
+    found = key_counts(rows).filter(F.col("bad") >= max(least, 0.002 * n1)).withColumn("odds", odds).filter(F.col("odds") >= lift)
     top = found.orderBy(F.desc(F.col("bad") * F.log("odds")), "key").select("key").limit(voters).collect()
     return sorted({*SEED, *(r[0] for r in top)})
 
@@ -151,7 +189,32 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     rows = docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id", "toxic")), "doc_id")
     rows = materialize(rows.select("text", "toxic"), "toxicity-rows")
     names = find_voters(rows)
-    vote = docs.sparkSession.sparkContext.broadcast(Voters(names))
+    got = _patterns(rows, names, max_rows)
+    if not any(r.bad for r in got) or all(r.bad == r.n for r in got):
+        discard(rows)
+        return Model(names)
+    label_model, vote = LabelModel(_unpack(got, len(names) + 3), np.array([r.n for r in got], float), np.array([r.bad for r in got], float)), docs.sparkSession.sparkContext.broadcast(Voters(names))
+
+    def judge(batches):  # texts with the label model's verdict in place of the label
+        for b in batches:
+            for i, k, v in vote.value(b.column(0)):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, k), pa.array((label_model.mean(v, b.column(1).slice(i, k).to_numpy(zero_copy_only=False)) >= 0.5).astype(np.int32))], names=["text", "toxic"])
+
+    feats = sorted({*names, *find_voters(rows.mapInArrow(judge, "text string, toxic int"), voters=300, lift=8.0, least=16)})
+    got = _patterns(rows, feats, max_rows)
+    discard(rows)
+    v, n = _unpack(got, len(feats) + 3), np.array([r.n for r in got], float)
+    rate = np.array([r.bad for r in got]) / n
+    at = np.r_[np.searchsorted(feats, names), np.arange(len(feats), len(feats) + 3)]
+    row, col = np.nonzero(v)
+    w, b = descend(row, col, v.shape[1], label_model.mean(v[:, at], rate), n)
+    a, c = calibrate(np.bincount(row, w[col], len(n)) + b, rate, n)
+    return Model(feats, a * w, a * b + c)
+
+
+def _patterns(rows: DataFrame, names: list[str], most: int) -> list:
+    """Distinct vote rows of the names, how often each was met and how often with the label 1."""
+    vote = rows.sparkSession.sparkContext.broadcast(Voters(names))
 
     def run(batches):
         for b in batches:
@@ -159,12 +222,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
                 packed = [x.tobytes() for x in np.packbits(v, axis=1)]
                 yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), b.column(1).slice(i, k)], names=["votes", "toxic"])
 
-    seen = rows.mapInArrow(run, "votes binary, toxic int").groupBy("votes", "toxic").agg(F.count("*").alias("n"))
-    got = seen.orderBy(F.desc("n"), "votes", "toxic").limit(max_rows).collect()
-    if not any(r.toxic for r in got) or all(r.toxic for r in got):
-        return Model(names)
-    v = np.unpackbits(np.frombuffer(b"".join(r.votes for r in got), np.uint8).reshape(len(got), -1), axis=1, count=len(names) + 3).astype(bool)
-    return Model(names, *fit(v, np.array([r.toxic for r in got], float), np.array([r.n for r in got], float)))
+    seen = rows.mapInArrow(run, "votes binary, toxic int").groupBy("votes").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad"))
+    return seen.orderBy(F.desc("n"), "votes").limit(most).collect()
+
+
+def _unpack(got: list, width: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(r.votes for r in got), np.uint8).reshape(len(got), -1), axis=1, count=width).astype(bool)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
