@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from ._shared import table
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?![a-zA-Z/!?])|<[^<>]*$|<|[^<]+", re.S)
+#: without quotes: for pages in which the ends of many tags are lost
+_LOOSE = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|</?([a-zA-Z][^\s/><]*)([^<>]*)>?|<|[^<]+", re.S)
+SHARE = 0.5  # of the mean of all paths, that a path of the story reaches
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe xmp".split())
@@ -49,56 +52,98 @@ def named(marks: str, inside: bool) -> str:
     return kinds and min(kinds)
 
 
-def nodes(page: str):
-    """(path, text, block number) of each text node; path is a tuple of (tag, drop, marks) from the root, drop one of x (by tag), m and a (by name, and forms) or empty."""
-    stack: list[tuple] = []
+class Tree:
+    """Tag paths as nodes: elements of one tag, drop kind and marks under one parent are one. A parent's number is below its children's."""
+
+    def __init__(self):
+        self.parent, self.tag, self.drop, self.outer, self.x, self.alien, self.head, self.child = [0], [""], [""], [-1], [False], [False], [False], {}
+
+    def get(self, up: int, tag: str, drop: str, marks: str) -> int:
+        at = self.child.setdefault((up, tag, drop, marks), len(self.parent))
+        if at == len(self.parent):
+            self.parent.append(up)
+            self.tag.append(tag)
+            self.drop.append(drop)
+            # the outermost article or main around it, and what holds for all that is inside
+            self.outer.append(self.outer[up] if self.outer[up] >= 0 or tag not in ("article", "main") else at)
+            self.x.append(self.x[up] or drop == "x")
+            self.alien.append(self.alien[up] or drop == "a")
+            self.head.append(self.head[up] or tag in HEADS)
+        return at
+
+    def up(self, values: list) -> list:
+        """Each node's sum over its subtree."""
+        for k in range(len(values) - 1, 0, -1):
+            values[self.parent[k]] += values[k]
+        return values
+
+    def under(self, tops) -> list:
+        """Whether each node is one of tops or inside one."""
+        out = [k in tops for k in range(len(self.parent))]
+        for k in range(1, len(out)):
+            out[k] = out[k] or out[self.parent[k]]
+        return out
+
+
+def nodes(page: str) -> tuple[Tree, list]:
+    """The tree, and (path, text, block number) of each text node; drop is x (by tag), m or a (by name, and forms) or empty. Linear in the page."""
+    tree, stack, open_ = Tree(), [0], {}
     block, raw, out = 0, None, []
-    at = 0
+    at = failed = 0
+
+    def pop():
+        k = stack.pop()
+        open_[tree.tag[k]] -= 1
+        return k
+
     while at < len(page):
         if raw:
             end = re.compile(rf"</{re.escape(raw)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at, raw = (end.end() if end else len(page)), None
-            stack.pop()
+            pop()
             continue
-        m = _TOKEN.match(page, at)
+        m = (_TOKEN if failed < 50 else _LOOSE).match(page, at)
+        if m[0] == "<" and page[at + 1 : at + 2].isalpha():  # no end of this tag: after some of these quotes no longer count
+            failed += 1
         at, s, tag = m.end(), m[0], m[1]
         if tag is None:
             if s[0] != "<" or s == "<":
-                out.append((tuple(stack), s, block))
+                out.append((stack[-1], s, block))
             continue
         tag = tag.lower()
         if tag not in INLINE or tag in ("hr",):
             block += 1
         if s[1] == "/":
-            if any(x[0] == tag for x in stack):
-                while stack.pop()[0] != tag:
+            if open_.get(tag):
+                while tree.tag[pop()] != tag:
                     pass
             continue
         if tag == "br":
-            out.append((tuple(stack), " ", block))
+            out.append((stack[-1], " ", block))
         if tag in VOID:
             continue
-        if tag in _CLOSES_P:
-            names = [x[0] for x in stack]
-            if "p" in names:
-                del stack[len(names) - 1 - names[::-1].index("p") :]
-        if tag in _SELF:
-            names = [x[0] for x in stack]
-            for j in range(len(names) - 1, -1, -1):
-                if names[j] in _SELF[tag]:
+        if tag in _CLOSES_P and open_.get("p"):
+            while tree.tag[pop()] != "p":
+                pass
+        if tag in _SELF and any(map(open_.get, (tag, "dt", "dd", "td", "th"))):
+            for j in range(len(stack) - 1, 0, -1):
+                name = tree.tag[stack[j]]
+                if name in _SELF[tag]:
                     break
-                if names[j] == tag or {names[j], tag} in ({"dt", "dd"}, {"td", "th"}):
-                    del stack[j:]
+                if name == tag or {name, tag} in ({"dt", "dd"}, {"td", "th"}):
+                    while len(stack) > j:
+                        pop()
                     break
         marks = " ".join(a[1] or a[2] or a[3] for a in _ATTR.findall(m[2])) if "=" in m[2] else ""
-        inside = any(x[0] in ("article", "main") for x in stack)
+        inside = bool(open_.get("article") or open_.get("main"))
         drop = named(marks, inside) if marks and tag not in ("html", "body", "article", "main") else ""
-        if tag in DROP and not (tag == "header" and any(x[0] == "article" for x in stack)):
+        if tag in DROP and not (tag == "header" and open_.get("article")):
             drop = "x" if tag != "form" else drop or "m"
-        stack.append((tag, drop, marks))
+        stack.append(tree.get(stack[-1], tag, drop, marks))
+        open_[tag] = open_.get(tag, 0) + 1
         if tag in RAW and not s.endswith("/>"):
             raw = tag
-    return out
+    return tree, out
 
 
 def select(found: list) -> tuple:
@@ -113,58 +158,68 @@ def select(found: list) -> tuple:
             s[2] += 1
     paths = [p for p, s in stats.items() if s[2]]
     size, punct = [stats[p][0] / stats[p][2] for p in paths], [(1 + stats[p][1]) / stats[p][2] for p in paths]
-    smooth = lambda v: [sum(v[max(0, i - 1) : i + 2]) / len(v[max(0, i - 1) : i + 2]) for i in range(len(v))]
+
+    def smooth(v):  # a path's own value counts four times as much as a neighbour's in page order
+        return [(4 * x + sum(near := v[max(0, i - 1) : i] + v[i + 1 : i + 2])) / (4 + len(near)) for i, x in enumerate(v)]
+
     fused = [a * b for a, b in zip(smooth(size), smooth(punct), strict=True)]
-    least = 0.5 * sum(fused) / max(1, len(fused))
+    least = SHARE * sum(fused) / max(1, len(fused))
     return stats, paths, size, punct, least, [p for p, f in zip(paths, fused, strict=True) if f >= least]
 
 
-def held(chosen: list, stats: dict) -> dict:
+def held(tree: Tree, chosen: list, stats: dict) -> list:
     """Selected text under each path."""
-    weight: dict = {}
+    weight = [0] * len(tree.parent)
     for p in chosen:
-        for k in range(len(p) + 1):
-            weight[p[:k]] = weight.get(p[:k], 0) + stats[p][0]
-    return weight
+        weight[p] = stats[p][0]
+    return tree.up(weight)
 
 
-def holders(found: list) -> set:
+def holders(tree: Tree, found: list) -> set:
     """Marked elements that stay: outermost ones around a main, and, but for alien texts, around an article or most of the selected text."""
     stats, paths, _, _, _, chosen = select(found)
-    weight, kept = held(chosen, stats), set()
+    weight = held(tree, chosen, stats)
+    some, main = [0] * len(weight), [0] * len(weight)
     for p in paths:
-        first = {n: next((k for k, x in enumerate(p) if x[0] == n), -1) for n in ("main", "article")}
-        outer = min((k for k in first.values() if k >= 0), default=-1)
-        for k, x in enumerate(p):
-            q = p[: k + 1]
-            if x[1] and (k < outer and (x[1] == "m" or first["main"] == outer) or x[1] == "m" and 2 * weight.get(q, 0) > weight[()]):
-                kept.add(q)
-    return kept
+        o = tree.outer[p]
+        if o > 0:
+            some[tree.parent[o]] = 1
+            main[tree.parent[o]] |= tree.tag[o] == "main"
+    some, main = tree.up(some), tree.up(main)
+    return {q for q, d in enumerate(tree.drop) if d and (some[q] and tree.outer[q] < 0 and (d == "m" or main[q]) or d == "m" and 2 * weight[q] > weight[0])}
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    found = [(p, _html.unescape(t), b) for p, t, b in nodes(page) if not any(x[1] == "x" for x in p)]
-    if any(x[1] for p, _, _ in found for x in p):
-        kept = holders(found)
-        story = [f for f in found if not any(x[1] and f[0][: k + 1] not in kept for k, x in enumerate(f[0]))]
-        found = story if any(t.strip() for _, t, _ in story) else [f for f in found if not any(x[1] == "a" for x in f[0])]
+    tree, found = nodes(page)
+    found = [(p, _html.unescape(t), b) for p, t, b in found if not tree.x[p]]
+    if any(tree.drop):
+        kept = holders(tree, found)
+        lost = tree.under({q for q, d in enumerate(tree.drop) if d and q not in kept})
+        story = [f for f in found if not lost[f[0]]]
+        found = story if any(t.strip() for _, t, _ in story) else [f for f in found if not tree.alien[f[0]]]
     stats, paths, size, punct, least, chosen = select(found)
     if not paths:
         return ""
-    weight = held(chosen, stats)
-    box = max((p for p, w in weight.items() if w >= 0.6 * weight[()] and (not p or p[-1][0] not in INLINE and p[-1][0] not in ("p", "h1", "h2", "h3", "li"))), key=len)
-    ends = [k + 1 for k, x in enumerate(box) if x[0] in ("article", "main")]
-    if ends:  # the article or main around the box, if what it adds is mostly headings or text that passes unsmoothed
+    weight, depth, box = held(tree, chosen, stats), [0] * len(tree.parent), 0
+    for k in range(1, len(depth)):  # the deepest path that holds most of the selected text
+        depth[k] = depth[tree.parent[k]] + 1
+        if weight[k] >= 0.6 * weight[0] and depth[k] > depth[box] and tree.tag[k] not in INLINE and tree.tag[k] not in ("p", "h1", "h2", "h3", "li"):
+            box = k
+    top = box
+    while top and tree.tag[top] not in ("article", "main"):
+        top = tree.parent[top]
+    inside = tree.under({box})
+    if top:  # the article or main around the box, if what it adds is mostly headings or text that passes unsmoothed
         own = {p for p, a, b in zip(paths, size, punct, strict=True) if a * b >= least}
-        more = [p for p in paths if p[: ends[-1]] == box[: ends[-1]] and p[: len(box)] != box]
-        good = sum(stats[p][0] for p in more if p in own or any(x[0] in HEADS for x in p))
-        if 2 * good >= sum(stats[p][0] for p in more):
-            box = box[: ends[-1]]
+        around = tree.under({top})
+        more = [p for p in paths if around[p] and not inside[p]]
+        if 2 * sum(stats[p][0] for p in more if p in own or tree.head[p]) >= sum(stats[p][0] for p in more):
+            inside = around
     blocks: dict = {}
     for p, t, b in found:
-        if p[: len(box)] == box:
+        if inside[p]:
             blocks.setdefault(b, []).append(t)
     return "\n".join(x for x in (" ".join("".join(v).split()) for v in blocks.values()) if x)
 
