@@ -1,9 +1,10 @@
 """Operator 8: license scans with a positional index of rare template words.
 
 Templates are notices and whole license texts, several a label; a word's weight is its inverse document frequency over
-them, none where all hold it. A text's rarest template words are looked up, each hit (word position less position in
-the template) is a vote for where a template starts, and a template holds where the words within its slack, a quarter
-of its length, make enough of its weight and its key phrases are there. Rare words also anchor phrases that name a
+all texts and the templates, by grouped counts. The index holds each template's words of the highest weight. Their
+places in a text are looked up, and the postings intersected by relative position: a template may start where two of
+its words at least (word position less position in the template) agree within its slack, a quarter of its length. It
+holds where the words that stand there in its order make enough of its weight and its key phrases are there. Rare words also anchor phrases that name a
 license by themselves, and license names, whose version is the nearest one after them (up to the next name) or before.
 Base phrases are counted wherever their words stand consecutively. Null texts count as empty: no words, no labels,
 null positions, score 0; repeated rows are scanned alike; extra columns are ignored.
@@ -108,14 +109,15 @@ def versions(ws: list[int], start: int, end: int, stop: int, reach: int = 24) ->
 
 
 class Index:
-    def __init__(self, templates=TEMPLATES, base=BASE, rare: int = 4, cover: float = 0.75, slack: int = 1):
+    def __init__(self, templates=TEMPLATES, base=BASE, rare: int = 4, cover: float = 0.75, slack: int = 1, seen: dict | None = None, texts: int = 0):
+        """seen: the number of texts that hold each word, of `texts`."""
         self.cover = cover
         flat = [(k, t.split(), ps) for k, ts in templates.items() for t, ps in ts]
         df: dict = {}
         for _, ws, _ in flat:
             for w in set(ws):
                 df[w] = df.get(w, 0) + 1
-        self.idf = {w: math.log(len(flat) / c) for w, c in df.items()}
+        self.idf = {w: math.log((len(flat) + texts + 1) / (c + (seen or {}).get(w, 0))) for w, c in df.items()}
         hashed = lambda s: [word_hash(w) for w in s.split()]
         self.base = [(hashed(p), label) for p, label in base.items()]
         #: label, (word, weight), key phrases and slack of each template
@@ -124,6 +126,9 @@ class Index:
         for t, (_, ws, _) in enumerate(flat):
             for w in sorted(set(ws), key=lambda w: (-self.idf[w], -len(w), w))[: max(rare, len(ws) // 10)]:
                 self.post.setdefault(word_hash(w), []).extend((t, i) for i, x in enumerate(ws) if x == w)
+        self.indexed: dict[int, int] = {}
+        for t, _ in {p for ps in self.post.values() for p in ps}:
+            self.indexed[t] = self.indexed.get(t, 0) + 1
         self.anchors: dict[int, list] = {}  # (phrase, place of the anchor in it, label, family)
         for k, p, family in [(k, p, None) for k, ps in NAMED.items() for p in ps] + [(None, p, f) for f, ps in FAMILIES.items() for p in ps]:
             ws = p.split()
@@ -162,21 +167,49 @@ class Index:
                 got.update(VERSIONS[family, n] for n in versions(ws, a, z, stop) if (family, n) in VERSIONS)
         return got
 
+    def starts(self, places: dict):
+        """(template, start) where votes of two different words of it, or of its only one, lie within its slack."""
+        for t, votes in places.items():
+            slack, need = self.templates[t][3], min(2, self.indexed[t])
+            votes.sort()
+            j, end = 0, None
+            for k, (at, _) in enumerate(votes):
+                while votes[j][0] < at - slack:
+                    j += 1
+                if (end is None or at > end) and len({i for _, i in votes[j : k + 1]}) >= need:
+                    yield t, votes[j][0]
+                    end = votes[j][0] + max(1, slack // 2)
+
+    @staticmethod
+    def aligned(window: list, ws: list, lead: int, slack: int) -> float:
+        """Weight of the template's words that stand in its order, each near its place."""
+        where: dict = {}
+        for k, w in enumerate(window):
+            where.setdefault(w, []).append(k)
+        after = total = 0
+        last, jump = lead, max(2, slack // 3)  # where the next word is due, and how far ahead of it a word is still taken
+        for i, (w, x) in enumerate(ws):
+            q = next((q for q in where.get(w, ()) if q >= after), None)
+            if q is not None and (not after or q <= last + jump) and q <= lead + i + slack + max(1, slack // 2):
+                total, after, last = total + x, q + 1, q + 1
+            else:
+                last += 1
+        return total
+
     def labels(self, h: np.ndarray, hits: np.ndarray) -> tuple[set, float]:
         """Template labels of one text, and the best weighted coverage."""
-        got, starts = self.named(h, hits), set()
+        got, places = self.named(h, hits), {}
         best = 1.0 if got else 0.0
         for pos in hits.tolist():
             for t, i in self.post.get(int(h[pos]), ()):
-                step = max(1, self.templates[t][3] // 2)
-                starts.add((t, (pos - i) // step * step))
-        for t, start in starts:
+                places.setdefault(t, []).append((pos - i, i))
+        for t, start in self.starts(places):
             label, ws, phrases, slack = self.templates[t]
             if label in got:
                 continue
-            window = h[max(0, start - slack) : max(0, start + len(ws) + slack + max(1, slack // 2))]
-            have = set(window.tolist())
-            c = sum(x for w, x in ws if w in have) / sum(x for _, x in ws)
+            a = max(0, start - slack)
+            window = h[a : max(0, start + len(ws) + slack + max(1, slack // 2))]
+            c = self.aligned(window.tolist(), ws, start - a, slack) / sum(x for _, x in ws)
             if c > best or c >= self.cover:
                 full = c >= self.cover and all(len(self.places(window, p)) for p in phrases)
                 if full:
@@ -187,8 +220,37 @@ class Index:
         return got, min(1.0, best)
 
 
+def text_counts(docs: DataFrame, names: list[str]) -> tuple[dict, int]:
+    """The number of texts that hold each of the names, and of all texts; each task sums its own."""
+    hs = np.array([word_hash(w) for w in names], np.uint64)
+    order = np.argsort(hs)
+    hs, at = hs[order], order
+
+    def run(batches):
+        sums, total = np.zeros(len(hs), np.int64), 0
+        for b in batches:
+            for _, k, data, off in chunks(b.column(0)):
+                _, _, h, first = words(data, off, ALNUM)
+                j = np.minimum(np.searchsorted(hs, h), len(hs) - 1)
+                ok = np.flatnonzero(hs[j] == h)
+                row = np.searchsorted(first, ok, "right") - 1
+                sums += np.bincount(np.unique(row * len(hs) + j[ok]) % len(hs), minlength=len(hs))
+                total += k
+        yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1], pa.int64()), pa.array([*sums.tolist(), total], pa.int64())], names=["at", "n"])
+
+    got = docs.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    n = {r["at"]: r["n"] for r in got}
+    return {w: n.get(k, 0) for k, w in enumerate(names)}, n.get(-1, 0)
+
+
+def corpus_index(docs: DataFrame, templates=TEMPLATES) -> Index:
+    seen, texts = text_counts(docs, sorted({w for ts in templates.values() for t, _ in ts for w in t.split()}))
+    return Index(templates, seen=seen, texts=texts)
+
+
 def scan(docs: DataFrame, index: Index | None = None) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index or Index())
+    """The contract's columns, one row per row of docs; the index is of the templates' words alone, so it does not grow with the data."""
+    shared = docs.sparkSession.sparkContext.broadcast(index or corpus_index(docs))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())])
 
     def run(batches):
