@@ -1,8 +1,10 @@
 """Operator 4: benchmark decontamination with a generalised suffix automaton of the normalised test items.
 
 Null or empty texts have no words; an item with no words never occurs; an item whose id is null counts for hits and
-is not listed; repeated rows are rows of their own; empty tables give no rows, or clean ones. The automaton is
-broadcast, so items are dealt into groups of bounded size: documents are scanned once, with one automaton at a time.
+is not listed; repeated rows are rows of their own; empty tables give no rows, or clean ones. An automaton takes about
+600 bytes a word and is broadcast, so items are dealt into groups of a bounded number of words (an item that is longer
+is a group of its own). With several groups each scans the documents in tasks of its own, so that a worker holds one
+automaton; their hits, far fewer than the texts, are put together by document.
 """
 import hashlib
 
@@ -15,7 +17,7 @@ from ._shared import table
 from ._words import ALNUM, chunks, mix, words
 
 WINDOW = 10
-MAX_WORDS = 5_000_000  # words of items that one automaton may hold
+MAX_WORDS = 200_000  # words of items that one automaton may hold: 120 MB
 
 
 class SuffixAutomaton:
@@ -162,7 +164,7 @@ class Matcher:
 
 
 def matchers(benchmark: DataFrame, most: int = MAX_WORDS) -> list:
-    """Broadcast matchers over groups of items whose texts stay under `most` words (6 bytes each at the least guess)."""
+    """Broadcast matchers over groups of items whose texts stay under `most` words (of two bytes at the least); the driver holds one group at a time."""
     spark, out, group, size = benchmark.sparkSession, [], [], 0
     for r in benchmark.select("item_id", "text").toLocalIterator():
         group.append((r[0], r[1]))
@@ -173,9 +175,9 @@ def matchers(benchmark: DataFrame, most: int = MAX_WORDS) -> list:
     return [*out, spark.sparkContext.broadcast(Matcher(group))] if group or not out else out
 
 
-def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, most: int = MAX_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and spans (start, end byte offsets of hit runs in the text)."""
-    found = matchers(benchmark)
+    docs, rows = _found(docs.select(F.col("doc_id").cast("long"), "text"), matchers(benchmark, most))
 
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
@@ -183,14 +185,14 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         for b in batches:
             for i, k, data, off in chunks(b.column(1)):
                 _, _, h, first = words(data, off, ALNUM)
-                hits = _rows(found, h, first)
+                hits = rows(b, i, k, h, first)
                 n_hit, n_items, sha = np.zeros(k, np.int64), np.zeros(k, np.int64), [none] * k
                 for r, (hit, items) in hits.items():
                     ids = sorted(str(x) for x in items if x is not None)
                     n_hit[r], n_items[r], sha[r] = hit.sum(), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest()
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, k), pa.array(np.diff(first).astype(np.int64)), pa.array(n_hit), pa.array(n_items), pa.array(sha), pa.array(n_hit > 0)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return docs.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def _rows(found, h, first) -> dict:
@@ -203,9 +205,52 @@ def _rows(found, h, first) -> dict:
     return hits
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.5) -> DataFrame:
+def _found(docs: DataFrame, found: list):
+    """docs and rows(batch, first row, rows, h, first), which gives the hits of rows; of several matchers by a last column of docs."""
+    if len(found) == 1:
+        return docs, lambda b, i, k, h, first: _rows(found, h, first)
+    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64("text")]
+    texts = docs.select(key[0].alias("d"), key[1].alias("k"), "text")
+    one = [texts.mapInArrow(_hits(m), "d string, k long, hit binary, items array<string>") for m in found]
+    every = one[0]
+    for x in one[1:]:
+        every = every.unionByName(x)
+    name = "hits"
+    while name in (c.lower() for c in docs.columns):
+        name += "_"
+    every = every.groupBy("d", "k").agg(F.collect_set(F.struct("hit", "items")).alias(name))  # one at most of each group of items
+    names = [x + name for x in ("d", "k")]
+    out = docs.select("*", key[0].alias(names[0]), key[1].alias(names[1])).join(every.withColumnsRenamed({"d": names[0], "k": names[1]}), names, "left")
+
+    def rows(b, i, k, h, first):
+        hits = {}
+        for r, got in enumerate(b.column(b.num_columns - 1).slice(i, k).to_pylist()):
+            n = int(first[r + 1] - first[r])
+            for x in got or ():
+                own = hits.setdefault(r, (np.zeros(n, bool), set()))
+                own[0][:] |= np.unpackbits(np.frombuffer(x["hit"], np.uint8), count=n).astype(bool)
+                own[1].update(x["items"])
+        return hits
+
+    return out.select(*docs.columns, name), rows
+
+
+def _hits(m):
+    def run(batches):
+        for b in batches:
+            for i, k, data, off in chunks(b.column(2)):
+                _, _, h, first = words(data, off, ALNUM)
+                got = _rows([m], h, first)
+                at = pa.array([i + r for r in got], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([np.packbits(hit).tobytes() for hit, _ in got.values()], pa.binary()), pa.array([[x if x is None else str(x) for x in items] for _, items in got.values()], pa.list_(pa.string()))], names=["d", "k", "hit", "items"])
+
+    return run
+
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.5, most: int = MAX_WORDS) -> DataFrame:
     """docs without the hit words; a document with more than max_coverage of its words hit goes. Clean texts stay as they are."""
-    found, cols = matchers(benchmark), docs.columns
+    cols, schema = docs.columns, docs.schema
+    docs, rows = _found(docs, matchers(benchmark, most))
     at = cols.index("text")
     n_at = cols.index("n_chars") if "n_chars" in cols else None
 
@@ -215,7 +260,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.
             changed = {}
             for i, k, data, off in chunks(b.column(at)):
                 starts, ends, h, first = words(data, off, ALNUM)
-                for r, (hit, _) in _rows(found, h, first).items():
+                for r, (hit, _) in rows(b, i, k, h, first).items():
                     if hit.mean() > max_coverage:
                         keep[i + r] = False
                         continue
@@ -225,7 +270,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.
                         parts.append(raw[last : starts[first[r] + a] - off[r]])
                         last = int(ends[first[r] + z - 1] - off[r])
                     changed[i + r] = b"".join([*parts, raw[last:]]).decode()
-            arrays = [b.column(c) for c in range(b.num_columns)]
+            arrays = [b.column(c) for c in range(len(cols))]
             if changed:
                 for r, t in changed.items():
                     texts[r] = t
@@ -235,9 +280,9 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.
                     for r, t in changed.items():
                         ns[r] = len(t)
                     arrays[n_at] = pa.array(ns, b.schema.field(n_at).type)
-            yield pa.RecordBatch.from_arrays(arrays, schema=b.schema).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema([b.schema.field(c) for c in range(len(cols))])).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, schema)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
