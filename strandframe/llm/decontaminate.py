@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import table
-from ._words import ALNUM, chunks, mix, words
+from ._words import ALNUM, chunks, mix, trimmed, words
 
 WINDOW = 10
 MAX_WORDS = 200_000  # words of items that one automaton may hold: 120 MB
@@ -192,7 +192,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, most: int = MAX_WORDS) -> DataFr
                     n_hit[r], n_items[r], sha[r] = hit.sum(), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest()
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, k), pa.array(np.diff(first).astype(np.int64)), pa.array(n_hit), pa.array(n_items), pa.array(sha), pa.array(n_hit > 0)], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return docs.mapInArrow(trimmed(run), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def _rows(found, h, first) -> dict:
@@ -211,7 +211,7 @@ def _found(docs: DataFrame, found: list):
         return docs, lambda b, i, k, h, first: _rows(found, h, first)
     key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64("text")]
     texts = docs.select(key[0].alias("d"), key[1].alias("k"), "text")
-    one = [texts.mapInArrow(_hits(m), "d string, k long, hit binary, items array<string>") for m in found]
+    one = [texts.mapInArrow(trimmed(_hits(m)), "d string, k long, hit binary, items array<string>") for m in found]
     every = one[0]
     for x in one[1:]:
         every = every.unionByName(x)
@@ -282,7 +282,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.
                     arrays[n_at] = pa.array(ns, b.schema.field(n_at).type)
             yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema([b.schema.field(c) for c in range(len(cols))])).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from strandframe.operators.graph import connected_components
 
 from ._shared import discard, materialize, parts_for, table
-from ._words import NONSPACE, chunks, mix, words
+from ._words import NONSPACE, chunks, mix, trimmed, words
 
 _U = np.uint64
 SLACK = 0.25  # spare segments, as a share of theta
@@ -124,7 +124,7 @@ def index_sets(docs: DataFrame, n: int) -> DataFrame:
             size, lo, hi = zip(*got, strict=True) if got else ([], [], [])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int32())], names=["doc_id", "text_key", "n_shingles", "lo", "hi"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, n_shingles long, lo long, hi int")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(trimmed(run), "doc_id long, text_key long, n_shingles long, lo long, hi int")
 
 
 def index_signatures(docs: DataFrame, n: int, num: int, den: int, crowd: int) -> DataFrame:
@@ -155,7 +155,7 @@ def index_signatures(docs: DataFrame, n: int, num: int, den: int, crowd: int) ->
             if buf:
                 yield flush(buf)
 
-    return docs.select("text").mapInArrow(run, "x long, lo long, need int")
+    return docs.select("text").mapInArrow(trimmed(run), "x long, lo long, need int")
 
 
 def kept_signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -214,7 +214,7 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int, each:
                     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
                     yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(diffs)))], names=names)
 
-    return both.select("pivot", "head", "id", "text").mapInArrow(run, "pivot long, id long, pivot_size long, size long, linked boolean, diff array<long>")
+    return both.select("pivot", "head", "id", "text").mapInArrow(trimmed(run), "pivot long, id long, pivot_size long, size long, linked boolean, diff array<long>")
 
 
 def links_apart(rows: DataFrame, tested: DataFrame, cc: DataFrame, num: int, den: int) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import parts_for, scratch, table
+from ._words import trimmed
 
 SKIP, INDEX, SEEKABLE = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1
 END_ID = 2
@@ -162,7 +163,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = E
             yield pa.RecordBatch.from_pydict({"shard": [part], "n_docs": [len(writer.docs)], "n_ids": [writer.tokens]}, schema=pa.schema([("shard", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     rows = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = rows.mapInArrow(run, "shard long, n_docs long, n_ids long")
+    manifest = rows.mapInArrow(trimmed(run), "shard long, n_docs long, n_ids long")
     manifest.write.parquet(f"{out}/manifest")
     return docs.sparkSession.read.parquet(f"{out}/manifest")
 
@@ -187,7 +188,7 @@ def read_tokens(manifest: DataFrame, out: str) -> DataFrame:
                     n_ = r.docs["n"].astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(r.docs["doc_id"].astype(np.int64), mask=r.docs["null"]), pa.array(before + np.cumsum(n_) - n_), pa.array(n_), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return starts.select("shard", "before").repartition(n, "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return starts.select("shard", "before").repartition(n, "shard").mapInArrow(trimmed(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(spark: SparkSession, docs: DataFrame) -> DataFrame:

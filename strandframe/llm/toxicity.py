@@ -11,6 +11,9 @@ held-out one; only voters and distinct vote patterns reach the driver. Scoring r
 Null or empty texts get the prior; a null doc_id is not held out; labels of unknown documents are ignored; repeated
 rows are scored alike; without training rows the seed lexicon alone decides; an empty table gives no rows.
 """
+import collections
+import functools
+import itertools
 import re
 
 import numpy as np
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import discard, materialize, table
-from ._words import ALNUM, LOWER, chunks, word_hash, words
+from ._words import ALNUM, LOWER, chunks, trimmed, word_hash, words
 
 SEED = "idiot idiots stupid moron morons loser losers scum trash clown pathetic worthless disgusting dumb imbecile fool hate filthy vermin bastard".split()
 MAX_ROWS = 40_000
@@ -33,9 +36,14 @@ def held():
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
+@functools.lru_cache(100_000)
+def word_keys(w: str) -> tuple:
+    """A word and its beginnings of up to 8 bytes."""
+    return w, *(f"{w[:k]}*" for k in STEMS if len(w) > k and len(w[:k].encode()) <= 8)
+
+
 def keys(text: str) -> set:
-    ws = set(_WORD.findall((text or "").translate(_LOWER)))
-    return ws | {f"{w[:k]}*" for w in ws for k in STEMS if len(w) > k and len(w[:k].encode()) <= 8}
+    return set(itertools.chain.from_iterable(map(word_keys, set(_WORD.findall((text or "").translate(_LOWER))))))
 
 
 def patterns(text: str) -> list[bool]:
@@ -113,33 +121,33 @@ def calibrate(z: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float
     return a, b
 
 
-def key_counts(rows: DataFrame, most: int = 300_000) -> DataFrame:
-    """key, bad, good: toxic and other rows that hold each word or stem. A task's counts are merged before they leave it."""
+def key_counts(rows: DataFrame, judge=None, most: int = 300_000) -> DataFrame:
+    """key, bad, good: toxic and other rows that hold each word or stem, by judge(texts, labels) or the labels. A task's counts are merged before they leave it."""
 
     def run(batches):
-        counts: dict = {}
+        bad, good = collections.Counter(), collections.Counter()
 
         def flush():
-            names = list(counts)
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([counts[k][j] for k in names], pa.int64()) for j in (0, 1))], names=["key", "bad", "good"])
+            names = list(bad.keys() | good.keys())
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[k] for k in names], pa.int64()) for c in (bad, good))], names=["key", "bad", "good"])
 
         for b in batches:
-            for t, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                for k in keys(t.as_py()):
-                    counts.setdefault(k, [0, 0])[0 if y else 1] += 1
-                if len(counts) > most:
+            said = judge(b.column(0), b.column(1)) if judge else b.column(1).to_pylist()
+            for t, y in zip(b.column(0), said, strict=True):
+                (bad if y else good).update(keys(t.as_py()))
+                if len(good) + len(bad) > most:
                     yield flush()
-                    counts.clear()
+                    bad.clear()
+                    good.clear()
         yield flush()
 
-    return rows.select("text", "toxic").mapInArrow(run, "key string, bad long, good long").groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    return rows.select("text", "toxic").mapInArrow(trimmed(run), "key string, bad long, good long").groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
-def find_voters(rows: DataFrame, voters: int = 400, lift: float = 12.0, least: int = 4) -> list[str]:
-    """Seed words, and the `voters` strongest of the keys whose odds reach `lift` over all rows."""
-    n1, n0 = (int(x or 0) + 1 for x in rows.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
+def find_voters(rows: DataFrame, n1: float, n0: float, judge=None, voters: int = 400, lift: float = 12.0, least: int = 4) -> list[str]:
+    """Seed words, and the `voters` strongest of the keys whose odds reach `lift` over all rows, n1 of them toxic and n0 not."""
     odds = ((F.col("bad") + 0.5) / n1) / ((F.col("good") + 0.5) / n0)
-    found = key_counts(rows).filter(F.col("bad") >= max(least, 0.002 * n1)).withColumn("odds", odds).filter(F.col("odds") >= lift)
+    found = key_counts(rows, judge).filter(F.col("bad") >= max(least, 0.002 * n1)).withColumn("odds", odds).filter(F.col("odds") >= lift)
     top = found.orderBy(F.desc(F.col("bad") * F.log("odds")), "key").select("key").limit(voters).collect()
     return sorted({*SEED, *(r[0] for r in top)})
 
@@ -188,19 +196,21 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     known = known.filter(F.pmod("h", F.lit(1 << 20)) <= int(share * (1 << 20))).orderBy("h", "doc_id").limit(max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id", "toxic")), "doc_id")
     rows = materialize(rows.select("text", "toxic"), "toxicity-rows")
-    names = find_voters(rows)
+    n1, n0 = (int(x or 0) + 1 for x in rows.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
+    names = find_voters(rows, n1, n0)
     got = _patterns(rows, names, max_rows)
     if not any(r.bad for r in got) or all(r.bad == r.n for r in got):
         discard(rows)
         return Model(names)
-    label_model, vote = LabelModel(_unpack(got, len(names) + 3), np.array([r.n for r in got], float), np.array([r.bad for r in got], float)), docs.sparkSession.sparkContext.broadcast(Voters(names))
+    seen, n = _unpack(got, len(names) + 3), np.array([r.n for r in got], float)
+    label_model, vote = LabelModel(seen, n, np.array([r.bad for r in got], float)), docs.sparkSession.sparkContext.broadcast(Voters(names))
 
-    def judge(batches):  # texts with the label model's verdict in place of the label
-        for b in batches:
-            for i, k, v in vote.value(b.column(0)):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, k), pa.array((label_model.mean(v, b.column(1).slice(i, k).to_numpy(zero_copy_only=False)) >= 0.5).astype(np.int32))], names=["text", "toxic"])
+    def judge(texts, labels):  # the label model's verdicts
+        y = labels.to_numpy(zero_copy_only=False)
+        return np.concatenate([np.zeros(0), *(label_model.mean(v, y[i : i + k]) for i, k, v in vote.value(texts))]) >= 0.5
 
-    feats = sorted({*names, *find_voters(rows.mapInArrow(judge, "text string, toxic int"), voters=300, lift=8.0, least=16)})
+    n1 = 1 + float(n @ (label_model.mean(seen, np.array([r.bad for r in got]) / n) >= 0.5))
+    feats = sorted({*names, *find_voters(rows, n1, n.sum() + 2 - n1, judge, voters=300, lift=8.0, least=16)})
     got = _patterns(rows, feats, max_rows)
     discard(rows)
     v, n = _unpack(got, len(feats) + 3), np.array([r.n for r in got], float)
@@ -222,7 +232,7 @@ def _patterns(rows: DataFrame, names: list[str], most: int) -> list:
                 packed = [x.tobytes() for x in np.packbits(v, axis=1)]
                 yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), b.column(1).slice(i, k)], names=["votes", "toxic"])
 
-    seen = rows.mapInArrow(run, "votes binary, toxic int").groupBy("votes").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad"))
+    seen = rows.mapInArrow(trimmed(run), "votes binary, toxic int").groupBy("votes").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad"))
     return seen.orderBy(F.desc("n"), "votes").limit(most).collect()
 
 
@@ -240,7 +250,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 s = 1 / (1 + np.exp(-(votes @ w + bias)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, k), b.column(2).slice(i, k), pa.array(s)], names=["doc_id", "held_out", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long"), "text", held().alias("held_out")).select("doc_id", "text", "held_out").mapInArrow(run, "doc_id long, held_out boolean, score double")
+    out = docs.select(F.col("doc_id").cast("long"), "text", held().alias("held_out")).select("doc_id", "text", "held_out").mapInArrow(trimmed(run), "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= LIMIT).cast("int"))
 
 
@@ -263,7 +273,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 s = 1 / (1 + np.exp(-(votes @ w + bias)))
                 yield b.slice(i, k).filter(pa.array(s < LIMIT))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
