@@ -1,6 +1,6 @@
 """Operator 10: language identification by Bayesian evidence fusion.
 
-Evidence: character-trigram likelihoods of the visible text (models fitted on at most `max_rows` labelled documents
+Evidence: character-trigram likelihoods of the visible text (models fitted on about `max_rows` labelled documents
 per language), the declared markup language, the address (host suffix and a language code in the path), and host
 priors smoothed from the suffix and the whole corpus, made by grouped sums of text posteriors over all pages. Null
 html or url counts as empty; pages without any evidence get the corpus prior; repeated rows give equal rows; a
@@ -22,21 +22,39 @@ _TAG = re.compile(r"<html[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]+)", re.I)
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "uk": "en", "us": "en", "au": "en", "it": "it", "pt": "pt", "nl": "nl"}
 
 
-def grams(text: str) -> np.ndarray:
-    b = np.frombuffer(f" {text.lower()} ".encode(), np.uint8).astype(np.uint32)
-    if len(b) < 3:
-        return np.zeros(0, np.int64)
-    return ((b[:-2] * 65599 * 65599 + b[1:-1] * 65599 + b[2:]) * np.uint32(2654435761) >> np.uint32(16)).astype(np.int64)
+def grams(text: str, most: int = 1 << 20):
+    """Buckets of the text's byte trigrams, `most` at a time."""
+    b = np.frombuffer(f" {text.lower()} ".encode(), np.uint8)
+    for a in range(0, len(b) - 2, most):
+        x = b[a : a + most + 2].astype(np.uint32)
+        yield ((x[:-2] * 65599 * 65599 + x[1:-1] * 65599 + x[2:]) * np.uint32(2654435761) >> np.uint32(16)).astype(np.int64)
 
 
 def train(documents: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list, np.ndarray]:
-    """Languages and smoothed log probabilities (language, bucket)."""
-    rows = documents.filter("lang IS NOT NULL AND text IS NOT NULL")
-    langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
+    """Languages and smoothed log probabilities (language, bucket), from about max_rows rows of each language, chosen by a hash; tasks count, the driver gets the sums."""
+    rows = documents.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    langs = sorted(sizes)
+    if not langs:
+        return [], np.zeros((0, BUCKETS))
+    share = F.create_map(*[F.lit(x) for k in langs for x in (k, int(min(1.0, max_rows / sizes[k]) * (1 << 30)))])
+
+    def run(batches):
+        counts: dict = {}
+        for b in batches:
+            for lang, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if lang not in counts:
+                    counts[lang] = np.zeros(BUCKETS, np.int64)
+                for g in grams(t.as_py()):
+                    counts[lang] += np.bincount(g, minlength=BUCKETS)
+        for lang, c in counts.items():
+            at = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])], names=["lang", "bucket", "n"])
+
+    few = rows.filter(F.pmod("h", F.lit(1 << 30)) <= share[F.col("lang")]).select("lang", "text")
     counts = np.full((len(langs), BUCKETS), 0.5)
-    for k, lang in enumerate(langs):
-        for (t,) in rows.filter(F.col("lang") == lang).select("text").orderBy(F.xxhash64("doc_id")).limit(max_rows).toLocalIterator():
-            np.add.at(counts[k], grams(t), 1)
+    for r in few.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[langs.index(r["lang"]), r["bucket"]] += r["n"]
     return langs, np.log(counts / counts.sum(1, keepdims=True))
 
 
@@ -62,8 +80,10 @@ def identify(pages: DataFrame, model: tuple, declared_weight: float = 0.9, smoot
                 path.append((m[2] or "").lower() if m else "")
                 d = _TAG.search(h or "")
                 said.append(d[1].lower()[:2] if d else "")
-                g = grams(main_text(h))
-                s = logp[:, g].mean(1) * evidence(len(g), text_cap) if len(g) and langs else np.zeros(len(langs))
+                s, n = np.zeros(len(langs)), 0
+                for g in grams(main_text(h), 1 << 14):
+                    s, n = s + logp[:, g].sum(1), n + len(g)
+                s = s / max(1, n) * evidence(n, text_cap)
                 text.append((s - s.max()).tolist() if len(s) else [])
             yield pa.RecordBatch.from_arrays([ids, pa.array(host), pa.array(suffix), pa.array(path), pa.array(said), pa.array(text, pa.list_(pa.float64()))], names=["page_id", "host", "suffix", "path", "said", "loglik"])
 
@@ -73,8 +93,9 @@ def identify(pages: DataFrame, model: tuple, declared_weight: float = 0.9, smoot
     post = [F.exp(F.element_at("loglik", k + 1)) / total for k in range(n)]
     sums = lambda by: seen.groupBy(*by).agg(*[F.sum(p).alias(f"{(by or ['all'])[0]}_{k}") for k, p in enumerate(post)], F.count("*").alias(f"{(by or ['all'])[0]}_n"))
     if not n:
-        return seen.select("page_id", "host", F.lit(None).cast("string").alias("text_lang"), "said", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("p_lang"))
-    d = seen.join(sums(["host"]), "host").join(sums(["suffix"]), "suffix").join(F.broadcast(sums([])), how="inner")
+        return seen.select("page_id", "host", F.lit(None).cast("string").alias("text_lang"), F.col("said").alias("declared"), F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("p_lang"))
+    hosts = materialize(sums(["host"]), "lang-hosts")  # so that the join is on shuffles of its own, whose hot hosts are split
+    d = seen.join(hosts, "host").join(sums(["suffix"]), "suffix").join(F.broadcast(sums([])), how="inner")
     prior = [F.lit(1.0 / n)] * n
     for level in ("all", "suffix", "host"):  # each level leans on the one above
         prior = [(F.col(f"{level}_{k}") + smoothing * prior[k]) / (F.col(f"{level}_n") + smoothing) for k in range(n)]
