@@ -9,7 +9,7 @@ A, B, C = 12, 14, 8
 #: fixed values: allowed distances between motifs, in residues
 MIN_AC, MAX_SPAN, MIN_GAP = 90, 180, 10
 SHORTEST = A + B + C + MIN_GAP
-SCHEMA = "seq_idx long, score int, group string, group2 string, diff2 int, abc string, ql int, lo int, hi int, ppl int, suff int, pos_a int, seq_a string, pos_b int, seq_b string, pos_c int, seq_c string"
+SCHEMA = "seq_idx long, score int, group string, group2 string, diff2 int, abc string, ql int, lo int, hi int, ppl int, suff int, pos_a int, seq_a string, pos_b int, seq_b string, pos_c int, seq_c string, score_text string, diff2_text string"
 
 
 class Model:
@@ -17,6 +17,7 @@ class Model:
 
     def __init__(self, groups: dict, min_c: int = 300, min_ab: int = 200, min_total: int = 1000, stop: int = -1000):
         self.names, self.min_c, self.min_ab, self.min_total = list(groups), min_c, min_ab, min_total
+        self.consensus: dict = {}  # group -> letters shown for the three profiles; the best letters where absent
         self.tables = []
         for motifs in groups.values():
             self.tables.append([np.array([[*row[:20], stop, row[20] if len(row) > 20 else 0] for row in m], np.int32) for m in motifs])
@@ -80,6 +81,17 @@ def fold(found, distinct_second: bool = False):
     return top, second
 
 
+def shown(codes: np.ndarray, model: Model, hit) -> np.float32:
+    """A hit's score as it is printed: sums of single precision, column by column, C's and the motif's found first before the last one's, as files of such hits have them."""
+    parts = []
+    for table, at in zip(model.tables[hit[1]], hit[2:5], strict=True):
+        parts.append(np.float32(0))
+        for c, row in enumerate(table):
+            parts[-1] += np.float32(row[codes[at + c]] / 100)
+    a, b, c = parts
+    return b + c + a if hit[5] else a + c + b
+
+
 def search(seqs: DataFrame, model: Model, distinct_second: bool = False) -> DataFrame:
     """One row per sequence (seq_idx, seq) whose best chain reaches the model's least total; positions from 1."""
 
@@ -93,8 +105,9 @@ def search(seqs: DataFrame, model: Model, distinct_second: bool = False) -> Data
                 if top is None or top[0] < model.min_total:
                     continue
                 t, g, a, b, c, p = top
+                score = shown(codes, model, top)
                 lo, hi = (c, b + B - 1) if p else (a, c + C - 1)
-                rows.append((i, t, model.names[g], model.names[second[1]] if second else None, t - second[0] if second else 0, "CAB" if p else "ABC", len(s), lo + 1, hi + 1, hi - lo + 1, len(s) - hi - 1, a + 1, s[a : a + A], b + 1, s[b : b + B], c + 1, s[c : c + C]))
+                rows.append((i, t, model.names[g], model.names[second[1]] if second else None, t - second[0] if second else 0, "CAB" if p else "ABC", len(s), lo + 1, hi + 1, hi - lo + 1, len(s) - hi - 1, a + 1, s[a : a + A], b + 1, s[b : b + B], c + 1, s[c : c + C], f"{score:.1f}", f"{score - shown(codes, model, second) if second else 0:+.1f}"))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return seqs.select("seq_idx", "seq").mapInPandas(run, SCHEMA)

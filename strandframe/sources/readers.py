@@ -62,14 +62,39 @@ def edges(spark: SparkSession, path) -> DataFrame:
 
 
 def model(spark: SparkSession, path) -> dict:
-    """group -> three profiles in hundredths, from the text format of motif models (a file of bounded size)."""
-    names, out, cur = {}, {}, None
-    for (v,) in spark.read.text(path).coalesce(1).toLocalIterator():
+    """group -> three profiles in hundredths, from the text format of motif models (a file of bounded size).
+
+    A profile starts at a line PSSM with number, motif and group; its count of columns and of rows must agree, and the
+    file's of profiles. A broken file raises."""
+    return read_model(r[0] for r in spark.read.text(path).coalesce(1).toLocalIterator())[0]
+
+
+def read_model(lines) -> tuple[dict, dict]:
+    """The profiles and the consensus letters of each group."""
+    names, want, out, letters, cur, size, said = {}, None, {}, {}, None, 0, []
+    for v in lines:
         f = v.split("\t") if "\t" in v else v.split()
-        if f[:1] == ["group"] and len(f) > 2:
+        key = f[0].lower() if f else ""
+        if key == "group" and len(f) > 2:
             names[f[1]] = f[2]
-        elif f[:1] == ["pssm"]:
+        elif key == "pssms":
+            want = int(f[1])
+        elif key == "pssm" and len(f) == 4:  # number, motif, group
+            cur = out.setdefault(f[3], {}).setdefault(f[2], [])
+            said.append((cur, None))
+        elif key == "pssm" and len(f) == 3 and f[1] in ("aa", "nt"):
+            if f[1] != "aa":
+                raise ValueError("a nucleotide profile, where amino acids are wanted")
+            said[-1:] = [(cur, int(f[2]))]
+        elif key == "pssm":
             cur = out.setdefault(names.get(f[1], f[1]), {}).setdefault(f[2], [])
-        elif cur is not None and f and f[0].strip().isdigit() and len(f) >= 22:
-            cur.append([round(float(x) * 100) for x in f[1:22]])
-    return {g: tuple(m[k] for k in sorted(m)) for g, m in out.items()}
+        elif key == "consseq" and cur is not None:
+            letters[id(cur)] = f[1]
+        elif cur is not None and key.isdigit() and len(w := v.split()) >= 22:
+            cur.append([round(float(x) * 100) for x in w[1:22]])
+    if any(n is not None and n != len(rows) for rows, n in said) or want is not None and want != len(said):
+        raise ValueError("the model's counts do not agree with its rows")
+    if any(len(m) != 3 for m in out.values()):
+        raise ValueError("a group without its three motifs")
+    by = {g: tuple(m[k] for k in sorted(m)) for g, m in out.items()}
+    return by, {g: tuple(letters.get(id(rows), "") for rows in ms) for g, ms in by.items()}

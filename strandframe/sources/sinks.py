@@ -17,7 +17,8 @@ def write_fasta(df: DataFrame, path: str, label: str = "label", seq: str = "seq"
 
 def hits_table(hits: DataFrame, label: str = "seq_idx") -> DataFrame:
     """The 17 columns of the hits table as text: one decimal, signed difference, a point for no second group."""
-    cols = [F.col(label).cast("string"), F.format_string("%.1f", F.col("score") / 100), F.col("group"), F.coalesce("group2", F.lit(".")), F.format_string("%+.1f", F.col("diff2") / 100)]
+    one = lambda c, form: F.col(f"{c}_text") if f"{c}_text" in hits.columns else F.format_string(form, F.col(c) / 100)
+    cols = [F.col(label).cast("string"), one("score", "%.1f"), F.col("group"), F.coalesce("group2", F.lit(".")), one("diff2", "%+.1f")]
     cols += [F.col(c).cast("string") for c in "abc ql lo hi ppl suff pos_a seq_a pos_b seq_b pos_c seq_c".split()]
     return hits.select(*[c.alias(n) for c, n in zip(cols, HITS, strict=True)])
 
