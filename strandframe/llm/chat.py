@@ -61,12 +61,12 @@ def format_chats(rows: DataFrame, t: Template = Template()) -> DataFrame:
 
 
 def read_chats(out: DataFrame, t: Template = Template()) -> DataFrame:
-    """Digests from the formatted text and the loss spans alone."""
-    lens = F.transform("segments", lambda s: F.struct(F.length(s["text"]).alias("n"), s["loss"].alias("loss")))
-    spans = F.aggregate(lens, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,n:int>>").alias("got")), lambda a, s: F.struct((a["at"] + s["n"]).alias("at"), F.when(s["loss"], F.concat(a["got"], F.array(F.struct(a["at"].alias("at"), s["n"].alias("n"))))).otherwise(a["got"]).alias("got")))["got"]
-    d = out.withColumn("loss_text", F.concat_ws("", F.transform(spans, lambda s: unescaped(F.col("formatted").substr(s["at"] + 1, s["n"]), t))))
-    parsed = F.transform(F.slice(F.split("formatted", "\\Q" + t.turn + "\\E"), 2, 1 << 30), lambda p: F.concat(unescaped(F.substring_index(p, t.sep, 1), t), F.lit("\n"), unescaped(F.substring_index(F.substring_index(p, t.sep, -1), t.end, 1), t), F.lit("\n")))
-    d = d.withColumn("turns", parsed)
+    """Digests from the formatted text and the segments' loss flags alone; a turn has three segments, the second is its text."""
+    parts = F.slice(F.split("formatted", "\\Q" + t.turn + "\\E"), 2, 1 << 30)
+    said = F.transform(parts, lambda p: F.struct(unescaped(F.substring_index(p, t.sep, 1), t).alias("role"), unescaped(F.substring_index(F.substring_index(p, t.sep, -1), t.end, 1), t).alias("text")))
+    flags = F.transform(F.filter("segments", lambda s, i: i % 3 == 1), lambda s: s["loss"])
+    d = out.withColumn("said", said).withColumn("turns", F.transform("said", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))))
+    d = d.withColumn("loss_text", F.concat_ws("", F.zip_with("said", flags, lambda x, loss: F.when(loss, x["text"]).otherwise(""))))
     return d.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.concat_ws("", "turns"), 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "valid")
 
 
@@ -83,7 +83,7 @@ WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 e AS (SELECT *, regexp_replace(replace(text, chr(9243), chr(9243) || '0'), '(<)(\\|turn\\|>|\\|says\\|>|\\|over\\|>|s>|/s>|<SYS>>|</SYS>>|\\|endoftext\\|>|\\|im_start\\|>|\\|im_end\\|>)|(\\[)(/?INST\\])', '\\1\\3' || chr(9243) || '1\\2\\4', 'g') AS esc FROM c),
 g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS t,
   coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS l,
-  sum(length(role) + length(esc) + 24) AS f, string_agg(left(role, 1), '' ORDER BY turn, role, text) AS r FROM e GROUP BY conv_id)
+  sum(length(role) + length(esc) + 24) AS f, string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END, '' ORDER BY turn, role, text) AS r FROM e GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(t) AS turns_sha256, length(l) AS loss_chars, sha256(l) AS loss_sha256, CAST(f AS BIGINT) AS formatted_chars,
   regexp_full_match(r, 's?(ua)*u?') AND NOT (r = '') AS valid FROM g
 """

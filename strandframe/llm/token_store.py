@@ -1,6 +1,6 @@
 """Operator 1: token ids in seekable files.
 
-File: a header, one zstandard frame per group of documents (each decompresses alone), a skippable frame with the
+File: one zstandard frame per group of documents (each decompresses alone), a skippable frame with the
 document index, and a trailing seek table as in the public zstd seekable format (compressed size, raw size and the
 low 32 bits of XXH64 of each frame, in a skippable frame that ends with its magic number). Every frame also carries
 zstandard's own checksum. Nulls count as empty texts; an empty table gives no file; ties of doc_id stay in (doc_id,
@@ -59,11 +59,12 @@ class ShardWriter:
         a = np.array([(x[0], x[1], x[2], x[3], x[4]) for x in self.docs], dtype=_DOC)
         body = struct.pack("<B", np.dtype(self.dtype).itemsize) + self.z.compress(a.tobytes())
         self.out.write(struct.pack("<II", INDEX, len(body)) + body)
-        table_ = b"".join(struct.pack("<III", *f) for f in [*self.frames, (8 + len(body), 0, 0)])
+        table_ = b"".join(struct.pack("<III", *f) for f in [*self.frames, (8 + len(body), 0, _NOTHING)])  # the index is a skippable frame: it holds no data
         foot = struct.pack("<IBI", len(self.frames) + 1, 0x80, SEEKABLE)
         self.out.write(struct.pack("<II", SKIP, len(table_) + len(foot)) + table_ + foot)
 
 
+_NOTHING = 0x51D8E999  # the low 32 bits of XXH64 of no bytes
 _DOC = np.dtype([("doc_id", "<i8"), ("null", "?"), ("frame", "<u4"), ("at", "<u8"), ("n", "<u8")])
 
 
@@ -97,6 +98,12 @@ class ShardReader:
             self.kept = (k, raw)
         return self.kept[1]
 
+    def places(self, doc_id: int) -> range:
+        """Places of the documents with this id; shards are in ascending order of ids, nulls first."""
+        nulls = int(self.docs["null"].sum())
+        known = self.docs["doc_id"][nulls:]
+        return range(nulls + int(np.searchsorted(known, doc_id)), nulls + int(np.searchsorted(known, doc_id, "right")))
+
     def ids(self, i: int) -> np.ndarray:
         d = self.docs[i]
         return np.frombuffer(self.frame(int(d["frame"])), self.dtype, int(d["n"]), int(d["at"]))
