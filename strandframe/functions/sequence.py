@@ -25,10 +25,13 @@ def translate_frame(col, frame: int) -> Column:
     """Amino letters of frame 1..3, or -1..-3 on the reverse complement; codons with other letters give X, stops *."""
     seq = F.col(col) if isinstance(col, str) else col
     seq = F.upper(seq if frame > 0 else reverse_complement(seq))
-    codons = F.create_map(*[F.lit(x) for i, a in enumerate(CODE) for x in (BASES[i // 16] + BASES[i // 4 % 4] + BASES[i % 4], a)])
+    # a codon as a number of base 5, other letters being 4, is a place in the table
+    of = "".join(CODE[a * 16 + b * 4 + c] if max(a, b, c) < 4 else "X" for a in range(5) for b in range(5) for c in range(5))
+    digits = F.regexp_replace(F.translate(F.regexp_replace(seq, "[0-9]", "N"), BASES, "0123"), "(?s)[^0-3]", "4")
     # codons by one pass of a pattern: substring by position would walk the string again for each codon
-    own = F.regexp_extract_all(F.substring(seq, abs(frame), F.length(seq)), F.lit("(?s)..."), F.lit(0))
-    return F.concat_ws("", F.transform(own, lambda c: F.coalesce(F.try_element_at(codons, c), F.lit("X"))))
+    own = F.regexp_extract_all(F.substring(digits, abs(frame), F.length(digits)), F.lit("..."), F.lit(0))
+    table = F.split(F.lit(of), "")
+    return F.concat_ws("", F.transform(own, lambda c: F.get(table, F.conv(c, 5, 10).cast("int"))))
 
 
 def is_nucleotide(col, share: float = 0.9) -> Column:

@@ -35,8 +35,9 @@ def top_motif_c(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the three columns' scores side by side, so that each letter is looked at once per column
     cols = [F.transform(F.slice("a", k + 1, F.size("a") - 2), good(g)) for k, g in enumerate("GDD")]
     total = F.zip_with(F.zip_with(cols[0], cols[1], lambda x, y: x + y), cols[2], lambda x, y: x + y)
-    w = a.select("seq_idx", F.posexplode(total).alias("p0", "score")).select("seq_idx", (F.col("p0") + 1).alias("pos"), "score")
-    return w.groupBy("seq_idx").agg(F.max(F.struct("score", (-F.col("pos")).alias("p"))).alias("t")).select("seq_idx", F.col("t.score").alias("score"), (-F.col("t.p")).alias("pos"))
+    # the best of a row's windows within the row: nothing is exploded or shuffled
+    best = F.array_max(F.transform(total, lambda x, i: F.struct(x.alias("score"), (-(i + 1)).alias("p"))))
+    return a.select("seq_idx", best.alias("t")).select("seq_idx", F.col("t.score").alias("score"), (-F.col("t.p")).alias("pos"))
 
 
 _SEQ = "SELECT doc_id AS seq_idx, regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') AS seq FROM documents"

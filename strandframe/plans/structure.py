@@ -1,7 +1,7 @@
 """Chain measures on the driver tables: an embedding's 60 first values are the coordinates of a chain of 20 places."""
 from pyspark.sql import functions as F
 
-from strandframe.operators import structure
+from strandframe.operators import aligned, structure
 
 SCALE = 24.0
 
@@ -24,11 +24,27 @@ def half_spheres(spark, d):
     return structure.half_spheres(chains(spark, d), 12.0, "vec_id")
 
 
+def _pairs(spark, d):
+    """Each chain with the next one's number, and an alignment that leaves the ends out."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    return e.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"), F.lit("-" + "aB" + "C" * 17 + "D").alias("row_a"), F.lit("E" + "F" * 18 + "g-").alias("row_b"))
+
+
+def dali_pairs(spark, d):
+    out = aligned.dali_pairs(_pairs(spark, d), chains(spark, d), "vec_id", kind="long")
+    return out.select("a", "b", "columns", *[F.round(c, 4).alias(c) for c in ("score", "z", "band")])
+
+
+def frame_pairs(spark, d):
+    out = aligned.frame_pairs(_pairs(spark, d), chains(spark, d), "vec_id", kind="long")
+    return out.select("a", "b", F.round("tm", 6).alias("tm"), "path")
+
+
 _P = f"SELECT vec_id, CAST(i AS INTEGER) AS i, CAST(embedding[i] AS DOUBLE) * {SCALE} AS x, CAST(embedding[i + 20] AS DOUBLE) * {SCALE} AS y, CAST(embedding[i + 40] AS DOUBLE) * {SCALE} AS z FROM embeddings, range(1, 21) r(i)"
 _D = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
 _SS = "abs(d13 - {0}) < {3} AND abs(d24 - {0}) < {3} AND abs(d35 - {0}) < {3} AND abs(d14 - {1}) < {3} AND abs(d25 - {1}) < {3} AND abs(d15 - {2}) < {3}"
 
-QUERIES = {"distance_matrix": distance_matrix, "secondary_structure": secondary_structure, "half_spheres": half_spheres}
+QUERIES = {"distance_matrix": distance_matrix, "secondary_structure": secondary_structure, "half_spheres": half_spheres, "dali_pairs": dali_pairs, "frame_pairs": frame_pairs}
 SQL = {
     "distance_matrix": f"WITH p AS ({_P}) SELECT a.vec_id, a.i, b.i AS j, round({_D}, 4) AS dist FROM p a JOIN p b ON a.vec_id = b.vec_id AND a.i < b.i",
     "secondary_structure": f"WITH p AS ({_P}), q AS (SELECT a.vec_id, a.i, b.i AS j, {_D} AS d FROM p a JOIN p b ON a.vec_id = b.vec_id AND b.i BETWEEN a.i AND a.i + 4), "
@@ -39,4 +55,9 @@ SQL = {
     "half_spheres": f"WITH p AS ({_P}), s AS (SELECT a.vec_id, a.i, ((a.x - l.x) + (a.x - r.x)) * (b.x - a.x) + ((a.y - l.y) + (a.y - r.y)) * (b.y - a.y) + ((a.z - l.z) + (a.z - r.z)) * (b.z - a.z) AS side FROM p a "
     "JOIN p l ON l.vec_id = a.vec_id AND l.i = a.i - 1 JOIN p r ON r.vec_id = a.vec_id AND r.i = a.i + 1 "
     f"LEFT JOIN p b ON b.vec_id = a.vec_id AND b.i <> a.i AND {_D} <= 12.0) SELECT vec_id, i AS pos, CAST(count(*) FILTER (side > 0) AS INTEGER) AS up, CAST(count(*) FILTER (side <= 0) AS INTEGER) AS down FROM s GROUP BY vec_id, i",
+    # columns 2 to 19 of row_a hold upper case (places 2 to 19 of a), on places 3 to 19 of b: those of both
+    "dali_pairs": f"WITH p AS ({_P}), c AS (SELECT a.vec_id AS a, a.i, a.x, a.y, a.z, b.x AS x2, b.y AS y2, b.z AS z2 FROM p a JOIN p b ON b.vec_id = a.vec_id + 1 AND b.i = a.i + 1 WHERE a.i BETWEEN 2 AND 18), "
+    "q AS (SELECT a, i, j, CASE WHEN (u + v) / 2 = 0 THEN 0.2 WHEN (u + v) / 2 > 100 THEN 0 ELSE exp(-pow((u + v) / 40, 2)) * (0.2 - abs(u - v) / ((u + v) / 2)) END AS s FROM (SELECT l.a, l.i, r.i AS j, sqrt(pow(l.x - r.x, 2) + pow(l.y - r.y, 2) + pow(l.z - r.z, 2)) AS u, sqrt(pow(l.x2 - r.x2, 2) + pow(l.y2 - r.y2, 2) + pow(l.z2 - r.z2, 2)) AS v FROM c l JOIN c r USING (a))), "
+    "t AS (SELECT a, sum(s) AS score FROM q GROUP BY a), w AS (SELECT a, sum(m) AS band FROM (SELECT a, i, avg(s) AS m FROM q WHERE abs(i - j) <= 3 GROUP BY a, i) GROUP BY a), m AS (SELECT 7.9494 + 0.70852 * 20 + 2.5895e-4 * 400 - 1.9156e-6 * 8000 AS mean) "
+    "SELECT a, a + 1 AS b, 17 AS columns, round(score, 4) AS score, round((score - mean) / greatest(1.0, 0.5 * mean), 4) AS z, round(band, 4) AS band FROM t JOIN w USING (a), m",
 }

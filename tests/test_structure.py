@@ -65,7 +65,7 @@ def test_clusters_and_tree():
     assert st.join_tree(["a", "b", "c"], [[0, 1, 3], [1, 0, 2], [3, 2, 0]]) == "((a,c),b);" and st.join_tree([], np.zeros((0, 0))) == ";"
 
 
-@pytest.mark.parametrize("name", sorted(plans.QUERIES))
+@pytest.mark.parametrize("name", sorted(plans.SQL))
 def test_sql(spark, name):
     d = "/root/testdata/sf0.001"
     db = duckdb.connect()
