@@ -1,9 +1,11 @@
 """The motif-scan query: windows against integer profiles, chaining A-B-C, best and second group per sequence."""
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.functions.sequence import clean
+from strandframe.functions.sequence import AMINO, clean
 from strandframe.operators.motif_scan import Model, search
+from strandframe.operators.translate import top_window
 
 
 def toy_model() -> Model:
@@ -28,16 +30,8 @@ def letter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def top_motif_c(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leftmost best window of a three-column integer profile."""
-    s = sequences(spark, sf_dir).filter(F.length("seq") >= 3)
-    val = lambda c, good: F.when(c == good, 300).when(c.isin("A", "E", "I"), 50).otherwise(-100)
-    good = lambda g: lambda c: val(c, g)
-    a = s.select("seq_idx", F.split("seq", "").alias("a"))
-    # the three columns' scores side by side, so that each letter is looked at once per column
-    cols = [F.transform(F.slice("a", k + 1, F.size("a") - 2), good(g)) for k, g in enumerate("GDD")]
-    total = F.zip_with(F.zip_with(cols[0], cols[1], lambda x, y: x + y), cols[2], lambda x, y: x + y)
-    # the best of a row's windows within the row: nothing is exploded or shuffled
-    best = F.array_max(F.transform(total, lambda x, i: F.struct(x.alias("score"), (-(i + 1)).alias("p"))))
-    return a.select("seq_idx", best.alias("t")).select("seq_idx", F.col("t.score").alias("score"), (-F.col("t.p")).alias("pos"))
+    column = lambda good: [300 if a == good else 50 if a in "AEI" else -100 for a in AMINO] + [-100, -100]
+    return top_window(sequences(spark, sf_dir), np.array([column(g) for g in "GDD"], np.int32))
 
 
 _SEQ = "SELECT doc_id AS seq_idx, regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') AS seq FROM documents"

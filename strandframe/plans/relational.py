@@ -2,8 +2,8 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandframe.functions.sequence import accession, annotation, reverse_complement, translate_frame
-from strandframe.operators import evaluation, merge, training
+from strandframe.functions.sequence import accession, annotation, reverse_complement
+from strandframe.operators import evaluation, merge, training, translate
 from strandframe.operators.graph import connected_components
 
 
@@ -33,9 +33,7 @@ def _nt(spark, d):
 
 
 def six_frames(spark, d):
-    s = _nt(spark, d)
-    frames = F.explode(F.array(*[F.struct(F.lit(k).alias("frame"), translate_frame("nt", k).alias("aa")) for k in (1, 2, 3, -1, -2, -3)]))
-    return s.select("doc_id", frames.alias("f")).select("doc_id", "f.frame", F.length("f.aa").alias("n"), F.md5("f.aa").alias("aa_md5")).filter("n >= 20")
+    return translate.six_frames(_nt(spark, d), "doc_id", "nt").select("doc_id", "frame", F.length("aa").alias("n"), F.md5("aa").alias("aa_md5")).filter("n >= 20")
 
 
 def reverse_complements(spark, d):

@@ -108,3 +108,14 @@ def test_linkage_of_many_and_long_components(spark, tmp_path):
     db = duckdb.connect()
     db.sql(f"CREATE VIEW orders AS FROM '{tmp_path}/orders.parquet/*.parquet'")
     assert got == sorted(db.sql(registry.oracle_sql()["order_linkage"]).fetchall()) and len({c for _, c in got}) > 20
+
+
+def test_frames_agree(spark):
+    from strandframe.operators import translate
+
+    rows = [(1, "ATGGCCTAA"), (2, "acgtNACGTTTGA"), (3, ""), (4, None), (5, "AC"), (6, "ATGé0ATG")]
+    d = spark.createDataFrame(rows, "k long, s string")
+    got = {(r.k, r.frame): r.aa for r in translate.six_frames(d, "k", "s").collect()}
+    for r in d.filter("s IS NOT NULL").select("k", *[translate_frame("s", f).alias(str(f)) for f in (1, 2, 3, -1, -2, -3)]).collect():
+        assert {f: got[r.k, f] for f in (1, 2, 3, -1, -2, -3)} == {f: r[str(f)] for f in (1, 2, 3, -1, -2, -3)}
+    assert not any(k == 4 for k, _ in got)
