@@ -9,6 +9,7 @@ text) order, nulls first.
 import functools
 import io
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -109,6 +110,11 @@ class ShardReader:
         return np.frombuffer(self.frame(int(d["frame"])), self.dtype, int(d["n"]), int(d["at"]))
 
 
+#: the tokenizer's pattern for texts of ASCII and Latin-1 letters, digits, spaces and marks
+LETTERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", " \\t\\n\\r\\f\\v"
+PLAIN = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^{SPACES}{LETTERS}0-9]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
+
+
 class Encoder:
     """The tokenizer, with the pieces it splits a text into kept once encoded: a piece's ids depend on the piece alone."""
 
@@ -119,15 +125,20 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(tokenizer_path)
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.any_split, self.plain_split = regex.compile(public_tokenizers.PATTERN).findall, re.compile(PLAIN).findall
+        self.plain = re.compile(f"[{LETTERS}0-9{SPACES}!-/:-@\\[-`{{-~]*").fullmatch
         self.special = [x.content for x in self.t.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}  # ids as 32-bit integers, so that a text's are joined without a loop
         self.keep = keep
 
+    def pieces(self, text: str) -> list[str]:
+        """The tokenizer's split; of plain letters by the faster of two engines, whose classes are the same there."""
+        return self.plain_split(text) if self.plain(text) else self.any_split(text)
+
     def __call__(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
             return np.array(self.t.encode(text, add_special_tokens=False).ids, "<u4")
-        known, pieces = self.known, self.split(text)
+        known, pieces = self.known, self.pieces(text)
         try:
             raw = b"".join(map(known.__getitem__, pieces))
         except KeyError:
