@@ -4,22 +4,27 @@ from strandframe.llm._shared import materialize, table
 
 
 def remove_toxic(spark, docs, sf_dir):
+    """Rows judged toxic by their own text go; null and empty texts stay."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def remove_near_copies(spark, docs, sf_dir):
+    """One row of each group of near copies stays (five words, 0.8); rows without words all stay."""
     return jaccard_join.keep_one(docs, n=5, num=80, den=100)
 
 
 def decontaminated(spark, docs, sf_dir):
+    """Benchmark passages are cut out; a row mostly made of them goes; other texts stay as they are."""
     return decontaminate.remove_spans(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark, docs, sf_dir):
+    """Whole documents, each as often as the mix takes its words; rows without words stay once."""
     return mixing.repeat_taken(docs)
 
 
 def tokens(spark, docs, sf_dir):
+    """Per document what its shard holds: start, n_tokens, checksum; nulls are empty texts."""
     return token_store.token_output(spark, docs)
 
 
