@@ -23,11 +23,15 @@ def fastq(spark: SparkSession, path) -> DataFrame:
     return r.select(F.split("r", "\n").alias("l")).select(F.substring(F.col("l")[0], 2, 1 << 30).alias("label"), F.col("l")[1].alias("seq"), F.col("l")[3].alias("qual"))
 
 
+def _number(k: int):
+    return lambda x: x[k].cast("double")  # of one argument: a second one would be the place
+
+
 def cal(spark: SparkSession, path) -> DataFrame:
     """label, seq, xs, ys, zs of chains as letter and coordinates by tab."""
     rows = F.transform(F.filter(F.split(F.regexp_extract("r", "(?s)^[^\n]*\n(.*)$", 1), "\n"), lambda x: F.trim(x) != ""), lambda x: F.split(x, "\t"))
     d = _records(spark, path).select(F.regexp_extract("r", "^(\\S*)", 1).alias("label"), rows.alias("t"))
-    return d.select("label", F.concat_ws("", F.transform("t", lambda x: x[0])).alias("seq"), *[F.transform("t", lambda x, k=k: x[k].cast("double")).alias(n) for k, n in ((1, "xs"), (2, "ys"), (3, "zs"))])
+    return d.select("label", F.concat_ws("", F.transform("t", lambda x: x[0])).alias("seq"), *[F.transform("t", _number(k)).alias(n) for k, n in ((1, "xs"), (2, "ys"), (3, "zs"))])
 
 
 #: fixed values: residue names and their letters
@@ -98,3 +102,19 @@ def read_model(lines) -> tuple[dict, dict]:
         raise ValueError("a group without its three motifs")
     by = {g: tuple(m[k] for k in sorted(m)) for g, m in out.items()}
     return by, {g: tuple(letters.get(id(rows), "") for rows in ms) for g, ms in by.items()}
+
+
+def file_list(spark: SparkSession, path) -> list[str]:
+    """Paths named one a line (a file of bounded size); blank lines are left out."""
+    return [r[0].strip() for r in spark.read.text(path).toLocalIterator() if r[0].strip()]
+
+
+def six_motif_coords(spark: SparkSession, path) -> DataFrame:
+    """label and starts and ends of six motifs, by tab."""
+    return spark.read.csv(path, sep="\t", schema="label string, " + ", ".join(f"{e}_{m} int" for m in ("d", "e", "f", "a", "b", "c") for e in ("lo", "hi")))
+
+
+def aligned_pairs(spark: SparkSession, path) -> DataFrame:
+    """a, b, row_a, row_b of pairwise alignments, by tab; rows of two lengths are left out."""
+    d = spark.read.csv(path, sep="\t", schema="a string, b string, row_a string, row_b string")
+    return d.filter(F.length("row_a") == F.length("row_b"))
