@@ -1,4 +1,4 @@
-"""What is written of a motif hit: flanks, cores, motif and palmprint records, evidence fields, aligned rows; and the C filter.
+"""What is written of a motif hit: flanks, cores, motif and print records, evidence fields, aligned rows; and the C filter.
 
 Hits are the rows of `motif_scan.search` (positions from 1, scores in hundredths). All but the aligned rows and the
 filter's scan are expressions of one row. A null sequence gives no record."""
@@ -52,7 +52,7 @@ def _places(lo: Column) -> Column:
     return F.concat(*parts, F.lit(" PSSM:"), F.col("group"))
 
 
-def palmprints(hits: DataFrame) -> DataFrame:
+def prints(hits: DataFrame) -> DataFrame:
     """seq_idx, abc, label suffix with the motifs' places in the print, and the print from first to last motif."""
     return hits.select("seq_idx", "abc", _places(F.col("lo")).alias("suffix"), F.substring("seq", F.col("lo"), F.col("hi") - F.col("lo") + 1).alias("print"))
 

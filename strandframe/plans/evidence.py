@@ -43,8 +43,8 @@ def hit_motifs(spark, d):
     return reports.motif_records(reports.exclude(hits(spark, d), ["g1"]))
 
 
-def hit_palmprints(spark, d):
-    return reports.palmprints(reports.gate(hits(spark, d), 16.0))
+def hit_prints(spark, d):
+    return reports.prints(reports.gate(hits(spark, d), 16.0))
 
 
 def hit_evidence(spark, d):
@@ -164,7 +164,7 @@ def _sketch_sql(usual: bool) -> str:
     return " || ".join(part(i) for i in range(8))
 
 
-QUERIES = {f.__name__: f for f in (left_flanks, right_flanks, hit_cores, hit_motifs, hit_palmprints, hit_evidence, c_filter, merge_records, evidence_classes, class_scores, class_probabilities, calibration, gumbel_fit, score_levels, chain_features, smoothed_chains, chain_sketches)}
+QUERIES = {f.__name__: f for f in (left_flanks, right_flanks, hit_cores, hit_motifs, hit_prints, hit_evidence, c_filter, merge_records, evidence_classes, class_scores, class_probabilities, calibration, gumbel_fit, score_levels, chain_features, smoothed_chains, chain_sketches)}
 _D = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
 
 
@@ -175,7 +175,7 @@ def sql(half_spheres: str, secondary_structure: str) -> dict:
         "hit_cores": f"WITH {_HITS}, c AS (SELECT *, least({_F} - 1, 149) AS lf, least(length(seq) - (CASE WHEN abc = 'CAB' THEN pos_a ELSE pos_c END), 150) AS rf, {_F} - least({_F} - 1, 149) AS k, CASE WHEN abc = 'CAB' THEN pos_a ELSE pos_c END AS z FROM m), "
         f"o AS (SELECT *, score >= 2000 AND lf >= 10 AND rf >= 10 AS ok FROM c) SELECT seq_idx, CASE WHEN ok THEN abc END AS abc, CASE WHEN ok THEN {_LBL.format('k')} END AS suffix, CASE WHEN ok THEN substr(seq, k, z + rf - k + 1) END AS core FROM o",
         "hit_motifs": f"WITH {_HITS} SELECT seq_idx, abc, seq_a || 'xxx' || seq_b || 'xxx' || seq_c AS motifs FROM m WHERE \"group\" <> 'g1'",
-        "hit_palmprints": f"WITH {_HITS} SELECT seq_idx, abc, {_LO} AS suffix, substr(seq, lo, hi - lo + 1) AS print FROM m WHERE score > 1600",
+        "hit_prints": f"WITH {_HITS} SELECT seq_idx, abc, {_LO} AS suffix, substr(seq, lo, hi - lo + 1) AS print FROM m WHERE score > 1600",
         "hit_evidence": f"WITH {_HITS} SELECT concat_ws(chr(9), CAST(seq_idx AS VARCHAR), 'pssm_score=' || printf('%.1f', score / 100), 'pssm_group=' || \"group\", 'pssm_group2=' || coalesce(group2, '.'), 'pssm_diff2=' || printf('%+.1f', diff2 / 100), 'pssm_ABC=' || abc, 'pssm_seqA=' || seq_a, 'pssm_posA=' || pos_a, 'pssm_seqB=' || seq_b, 'pssm_posB=' || pos_b, 'pssm_seqC=' || seq_c, 'pssm_posC=' || pos_c) AS line FROM m",
         "c_filter": f"WITH s AS ({_SEQ}), t AS (SELECT seq_idx, string_split(seq, '') AS w, length(seq) AS n FROM s WHERE length(seq) >= 8), v AS (SELECT seq_idx, n, p, {_C.format(_OF(5, 0), _OF(5, 3))} AS s1, {_C.format(_OF(11, 0), _OF(11, 3))} AS s2 FROM (SELECT *, unnest(range(1, n - 6)) AS p FROM t)) "
         "SELECT seq_idx, CAST(p AS INTEGER) AS pos, CAST(greatest(s1, s2) AS INTEGER) AS score, CASE WHEN s1 >= s2 THEN 'g1' ELSE 'g2' END AS \"group\", CAST(greatest(0, p - 151) + 1 AS INTEGER) AS lo, CAST(least(n - 1, p - 1 + 158) + 1 AS INTEGER) AS hi FROM v WHERE greatest(s1, s2) >= 400",

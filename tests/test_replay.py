@@ -30,7 +30,7 @@ def test_replay(spark):
         if (tsv := results / f"{fasta.stem}.tsv").exists():
             assert sorted("\t".join(r) for r in sinks.hits_table(hits, "label").collect()) == sorted(tsv.read_text().splitlines()[1:])
         wrap = lambda d, c: sorted(r[0].lstrip(">") for r in d.filter(F.col(c).isNotNull()).join(seqs.select("seq_idx", "label"), "seq_idx").select(sinks.fasta_record(F.concat("label", "suffix"), F.col(c))).collect())
-        assert wrap(reports.palmprints(hits), "print") == sorted(x.lstrip(">") for x in records(f"{fasta.stem}.pp.fasta"))
+        assert wrap(reports.prints(hits), "print") == sorted(x.lstrip(">") for x in records(f"{fasta.stem}.pp.fasta"))
         assert wrap(reports.cores(hits), "core") == sorted(x.lstrip(">") for x in records(f"{fasta.stem}.core.fasta"))
         if (text := results / f"{fasta.stem}.report.txt").exists():
             assert line(reports.reports(hits, model, "label"), "report") == sorted("\n" + x.strip("\n") for x in text.read_text().split("\n\n"))

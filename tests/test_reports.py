@@ -29,7 +29,7 @@ def test_report_rows(spark):
     assert reports.flanks(joined, False).filter("seq_idx = 2").first().flank == "G" * 9
     assert reports.flanks(joined, False, least=10).count() == 1
     assert reports.cores(joined).filter("seq_idx = 1").first().core == seq and reports.cores(joined, least_flank=100).filter("abc IS NOT NULL").count() == 0
-    assert reports.palmprints(joined).filter("seq_idx = 2").first().print == cab[20:-9]
+    assert reports.prints(joined).filter("seq_idx = 2").first().print == cab[20:-9]
     assert reports.exclude(joined, ["g1"]).count() == 0 and reports.gate(joined, 100).count() == 0
 
 
