@@ -4,12 +4,12 @@ Driver tables hold no proteins: texts are cleaned to the 20 amino letters, embed
 coordinates, and events and lineitem stand in for scores. Whole tables and whole texts are read,
 but for letters_by_column: it counts the first 34 letters of each text, as its SQL does.
 """
-from strandframe.plans import evidence, motif, relational, structure
+from strandframe.plans import contacts, evidence, motif, relational, structure
 
 
 def queries() -> dict:
-    return {**motif.QUERIES, **relational.QUERIES, **structure.QUERIES, **evidence.QUERIES}
+    return {**motif.QUERIES, **relational.QUERIES, **structure.QUERIES, **evidence.QUERIES, **contacts.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {**motif.SQL, **relational.SQL, **structure.SQL, **evidence.sql(structure.SQL["half_spheres"], structure.SQL["secondary_structure"])}
+    return {**motif.SQL, **relational.SQL, **structure.SQL, **evidence.sql(structure.SQL["half_spheres"], structure.SQL["secondary_structure"]), **contacts.SQL}
