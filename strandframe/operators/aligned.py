@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.functions import align
+from strandframe.functions import align, superpose
 
 GROUP = 256  # references that a task holds at a time
 
@@ -45,6 +45,27 @@ def frame_pairs(pairs: DataFrame, chains: DataFrame, key: str = "label", kind: s
     return _over(joined(pairs, chains, key, ["xs", "ys", "zs"]), one, f"a {kind}, b {kind}, tm double, path string")
 
 
+def tm_pairs(pairs: DataFrame, chains: DataFrame, key: str = "label", kind: str = "string") -> DataFrame:
+    """a, b, tm (a share of b's length), rmsd, matched and path of pairs of chains in frames of their own; pairs of which no fragment matches, or under three places, give no row."""
+
+    def one(r):
+        x, y = _xyz(r, "1"), _xyz(r, "2")
+        got = superpose.tm_align(x, y) if np.isfinite(x).all() and np.isfinite(y).all() else None
+        return (r.a, r.b, *got) if got else None
+
+    rows = joined(pairs, chains, key, ["xs", "ys", "zs"])
+    rows = rows.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a pair is much work for few bytes
+    return _over(rows, one, f"a {kind}, b {kind}, tm double, rmsd double, matched int, path string")
+
+
+def tm_grid(chains: DataFrame, refs: DataFrame, key: str = "label") -> DataFrame:
+    """Pairs (a, b) of every chain with every one of a stated set of references, in both directions; refs.key must be few, as their number multiplies the rows."""
+    a, b = chains.select(F.col(key).alias("a")), refs.select(F.col(key).alias("b"))
+    names = b.select(F.sort_array(F.collect_set("b")).alias("names")).first()["names"]
+    there = a.select("a", F.explode(F.array(*map(F.lit, names)) if names else F.expr(f"CAST(array() AS array<{chains.schema[key].dataType.simpleString()}>)")).alias("b"))
+    return there.unionByName(there.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+
+
 def frame_search(chains: DataFrame, refs: list[tuple], key: str = "label", kind: str = "string") -> DataFrame:
     """key, ref, tm: each chain's best of refs (name, array of place and axis), the first of equals."""
 
