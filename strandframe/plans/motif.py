@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from strandframe.functions.sequence import AMINO, clean
 from strandframe.operators.motif_scan import Model, search
+from strandframe.operators import model_building
 from strandframe.operators.translate import top_window
 
 
@@ -34,10 +35,35 @@ def top_motif_c(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_window(sequences(spark, sf_dir), np.array([column(g) for g in "GDD"], np.int32))
 
 
+def motif_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles by language from every whole block of 34 letters of the texts, cut into the three motifs; the first two letters of the blocks tell which stand for each other."""
+    blocks = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("lang").alias("group"), F.explode(F.regexp_extract_all(clean("text"), F.lit("(.{34})"), F.lit(1))).alias("b"))
+    parts = F.array(*[F.struct(F.lit(m).alias("motif"), F.substring("b", at, n).alias("row")) for m, at, n in (("A", 1, 12), ("B", 13, 14), ("C", 27, 8))])
+    every = spark.createDataFrame([(a, b, 1) for a in AMINO for b in AMINO], "a string, b string, n long")
+    pairs = blocks.groupBy(F.substring("b", 1, 1).alias("a"), F.substring("b", 2, 1).alias("b")).agg(F.count("*").alias("n"))
+    given, background = model_building.conditional(pairs.unionByName(every))
+    out = model_building.motif_profiles(blocks.select("group", F.explode(parts).alias("p")).select("group", "p.motif", "p.row"), given, background)
+    return out.select("group", "motif", F.col("col").cast("long").alias("col"), "aa", F.round("score", 6).alias("score"), F.round("wildcard", 6).alias("wildcard"), "consensus")
+
+
 _SEQ = "SELECT doc_id AS seq_idx, regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') AS seq FROM documents"
 _V = "CASE WHEN substr(seq, CAST(pos + {k} AS BIGINT), 1) = '{g}' THEN 300 WHEN substr(seq, CAST(pos + {k} AS BIGINT), 1) IN ('A','E','I') THEN 50 ELSE -100 END"
-QUERIES = {"motif_search": motif_search, "letter_counts": letter_counts, "top_motif_c": top_motif_c}
+QUERIES = {"motif_search": motif_search, "letter_counts": letter_counts, "top_motif_c": top_motif_c, "motif_profiles": motif_profiles}
+_PROFILES = f"""
+WITH s AS ({_SEQ.replace("doc_id AS seq_idx", "lang AS grp")}), b AS (SELECT grp, substr(seq, k * 34 + 1, 34) AS b FROM (SELECT grp, seq, unnest(range(length(seq) // 34)) AS k FROM s)),
+l AS (SELECT unnest(string_split('{AMINO}', '')) AS aa), pr AS (SELECT substr(b, 1, 1) AS a, substr(b, 2, 1) AS b, count(*) AS n FROM b GROUP BY ALL UNION ALL SELECT x.aa, y.aa, 1 FROM l x, l y),
+j AS (SELECT a, b, sum(n) AS n FROM (SELECT a, b, n FROM pr UNION ALL SELECT b, a, n FROM pr) GROUP BY a, b), m AS (SELECT a, sum(n) AS m FROM j GROUP BY a),
+g AS (SELECT j.a AS given, j.b AS aa, n / m AS p FROM j JOIN m USING (a)), bg AS (SELECT a AS aa, m / (SELECT sum(m) FROM m) AS bg FROM m),
+c AS (SELECT grp, i, substr(b, CAST(i AS BIGINT), 1) AS aa, count(*) AS n FROM (SELECT grp, b, unnest(range(1, 35)) AS i FROM b) GROUP BY ALL),
+t AS (SELECT grp, i, sum(n) AS total, max(n) AS most, arg_max(aa, (n, -ascii(aa))) AS top FROM c GROUP BY grp, i),
+f AS (SELECT c.grp, c.i, c.aa, c.n / t.total AS f FROM c JOIN t USING (grp, i)), ps AS (SELECT grp, i, g.aa, sum(f * p) AS ps FROM f JOIN g ON g.given = f.aa GROUP BY ALL),
+q AS (SELECT t.grp, t.i, l.aa, coalesce(f.f, 0) + 0.1 * ps.ps AS q FROM t CROSS JOIN l LEFT JOIN f USING (grp, i, aa) JOIN ps USING (grp, i, aa)),
+z AS (SELECT grp, i, aa, bg, ln(q / sum(q) OVER (PARTITION BY grp, i) / bg) AS score FROM q JOIN bg USING (aa)), w AS (SELECT *, least(0, sum(bg * score) OVER (PARTITION BY grp, i)) AS wildcard FROM z)
+SELECT grp AS "group", CASE WHEN i <= 12 THEN 'A' WHEN i <= 26 THEN 'B' ELSE 'C' END AS motif, CAST(CASE WHEN i <= 12 THEN i WHEN i <= 26 THEN i - 12 ELSE i - 26 END AS BIGINT) AS col, aa, round(score, 6) AS score, round(wildcard, 6) AS wildcard,
+    CASE WHEN most < 0.5 * total THEN lower(top) ELSE top END AS consensus FROM w JOIN t USING (grp, i)
+"""
 SQL = {
+    "motif_profiles": _PROFILES,
     "letter_counts": f"WITH s AS ({_SEQ}) SELECT aa, count(*) AS n FROM (SELECT unnest(string_split(seq, '')) AS aa FROM s WHERE length(seq) > 0) WHERE aa <> '' GROUP BY aa",
     "top_motif_c": f"WITH s AS ({_SEQ}), w AS (SELECT seq_idx, seq, unnest(range(1, length(seq) - 1)) AS pos FROM s WHERE length(seq) >= 3), v AS (SELECT seq_idx, pos, {_V.format(k=0, g='G')} + {_V.format(k=1, g='D')} + {_V.format(k=2, g='D')} AS score FROM w) SELECT seq_idx, CAST(score AS INTEGER) AS score, CAST(pos AS INTEGER) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY seq_idx ORDER BY score DESC, pos) AS r FROM v) WHERE r = 1",
 }

@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from strandframe.operators import aligned, structure
+from strandframe.operators.first_centroid import first_centroid_clusters
 
 SCALE = 24.0
 
@@ -40,6 +41,12 @@ def frame_pairs(spark, d):
     return out.select("a", "b", F.round("tm", 6).alias("tm"), "path")
 
 
+def first_centroids(spark, d):
+    """Each embedding's centroid, all 64 values as points of three, by the order of vec_id."""
+    out = first_centroid_clusters(spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding"), 0.26, "vec_id", "embedding")
+    return out.select("vec_id", "centroid", F.round("rms", 6).alias("rms"))
+
+
 def tm_pairs(spark, d):
     """Each chain on the next one, both taken in frames of their own."""
     out = aligned.tm_pairs(_pairs(spark, d).select("a", "b"), chains(spark, d), "vec_id", kind="long")
@@ -50,7 +57,7 @@ _P = f"SELECT vec_id, CAST(i AS INTEGER) AS i, CAST(embedding[i] AS DOUBLE) * {S
 _D = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
 _SS = "abs(d13 - {0}) < {3} AND abs(d24 - {0}) < {3} AND abs(d35 - {0}) < {3} AND abs(d14 - {1}) < {3} AND abs(d25 - {1}) < {3} AND abs(d15 - {2}) < {3}"
 
-QUERIES = {"distance_matrix": distance_matrix, "secondary_structure": secondary_structure, "half_spheres": half_spheres, "dali_pairs": dali_pairs, "frame_pairs": frame_pairs, "tm_pairs": tm_pairs}
+QUERIES = {"distance_matrix": distance_matrix, "secondary_structure": secondary_structure, "half_spheres": half_spheres, "dali_pairs": dali_pairs, "frame_pairs": frame_pairs, "tm_pairs": tm_pairs, "first_centroids": first_centroids}
 SQL = {
     "distance_matrix": f"WITH p AS ({_P}) SELECT a.vec_id, a.i, b.i AS j, round({_D}, 4) AS dist FROM p a JOIN p b ON a.vec_id = b.vec_id AND a.i < b.i",
     "secondary_structure": f"WITH p AS ({_P}), q AS (SELECT a.vec_id, a.i, b.i AS j, {_D} AS d FROM p a JOIN p b ON a.vec_id = b.vec_id AND b.i BETWEEN a.i AND a.i + 4), "

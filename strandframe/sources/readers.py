@@ -57,6 +57,13 @@ def stockholm(spark: SparkSession, path) -> DataFrame:
     return s.select("file", "label", F.concat_ws("", "r.s").alias("row"))
 
 
+def stockholm_features(spark: SparkSession, path) -> DataFrame:
+    """file, feature, row of the lines about columns (#=GC), joined over the blocks of a file."""
+    l_ = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("n", "l")).filter("l RLIKE '^#=GC\\\\s+\\\\S+\\\\s+\\\\S+'")
+    s = l_.select("file", "n", F.split("l", "\\s+").alias("p")).groupBy("file", F.col("p")[1].alias("feature")).agg(F.array_sort(F.collect_list(F.struct("n", F.col("p")[2].alias("s")))).alias("r"))
+    return s.select("file", "feature", F.concat_ws("", "r.s").alias("row"))
+
+
 def motif_coords(spark: SparkSession, path) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema="label string, lo_a int, hi_a int, lo_b int, hi_b int, lo_c int, hi_c int")
 
@@ -75,7 +82,7 @@ def model(spark: SparkSession, path) -> dict:
 
 def read_model(lines) -> tuple[dict, dict]:
     """The profiles and the consensus letters of each group."""
-    names, want, out, letters, cur, size, said = {}, None, {}, {}, None, 0, []
+    names, want, out, letters, cur, said, several, ended = {}, None, {}, {}, None, [], None, False
     for v in lines:
         f = v.split("\t") if "\t" in v else v.split()
         key = f[0].lower() if f else ""
@@ -92,12 +99,19 @@ def read_model(lines) -> tuple[dict, dict]:
             said[-1:] = [(cur, int(f[2]))]
         elif key == "pssm":
             cur = out.setdefault(names.get(f[1], f[1]), {}).setdefault(f[2], [])
+            said.append((cur, None))
+        elif key == "groups" and len(f) == 2:
+            several = int(f[1])
+        elif key == ".":
+            ended = True
         elif key == "consseq" and cur is not None:
             letters[id(cur)] = f[1]
         elif cur is not None and key.isdigit() and len(w := v.split()) >= 22:
             cur.append([round(float(x) * 100) for x in w[1:22]])
     if any(n is not None and n != len(rows) for rows, n in said) or want is not None and want != len(said):
         raise ValueError("the model's counts do not agree with its rows")
+    if several is not None and (several != len(out) or not ended):
+        raise ValueError("the model ends early or its groups do not agree with its head")
     if any(len(m) != 3 for m in out.values()):
         raise ValueError("a group without its three motifs")
     by = {g: tuple(m[k] for k in sorted(m)) for g, m in out.items()}
@@ -110,8 +124,9 @@ def file_list(spark: SparkSession, path) -> list[str]:
 
 
 def six_motif_coords(spark: SparkSession, path) -> DataFrame:
-    """label and starts and ends of six motifs, by tab."""
-    return spark.read.csv(path, sep="\t", schema="label string, " + ", ".join(f"{e}_{m} int" for m in ("d", "e", "f", "a", "b", "c") for e in ("lo", "hi")))
+    """label, then place (from 1) and letters of each of the motifs F2, A, B, C, D, E, by tab; a point is a missing one."""
+    schema = "label string, " + ", ".join(f"pos_{m} int, seq_{m} string" for m in ("f2", "a", "b", "c", "d", "e"))
+    return spark.read.csv(path, sep="\t", schema=schema, nullValue=".")
 
 
 def aligned_pairs(spark: SparkSession, path) -> DataFrame:

@@ -39,8 +39,6 @@ def test_stockholm(spark, tmp_path):
 def test_lists_and_tables(spark, tmp_path):
     (tmp_path / "l.files").write_text("a.pdb\n\n b.pdb \n")
     assert readers.file_list(spark, str(tmp_path / "l.files")) == ["a.pdb", "b.pdb"]
-    (tmp_path / "m.tsv").write_text("q\t" + "\t".join(map(str, range(12))) + "\n")
-    assert tuple(readers.six_motif_coords(spark, str(tmp_path / "m.tsv")).first()) == ("q", *range(12))
     (tmp_path / "p.tsv").write_text("a\tb\tAC-D\tACED\na\tc\tA\tAC\n")
     assert [tuple(r) for r in readers.aligned_pairs(spark, str(tmp_path / "p.tsv")).collect()] == [("a", "b", "AC-D", "ACED")]
 
