@@ -111,12 +111,3 @@ def search(seqs: DataFrame, model: Model, distinct_second: bool = False) -> Data
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return seqs.select("seq_idx", "seq").mapInPandas(run, SCHEMA)
-
-
-def core(hits_: DataFrame, seqs: DataFrame, margin: int = 150, min_flank: int = 0) -> DataFrame:
-    """The region around the motifs: up to margin - 1 before the first and margin after the last."""
-    from pyspark.sql import functions as F
-
-    first, last = F.least("pos_a", "pos_c"), F.when(F.col("abc") == "ABC", F.col("pos_c")).otherwise(F.col("pos_b"))
-    d = hits_.join(seqs, "seq_idx").withColumn("core_lo", F.greatest(F.lit(1), first - margin + 1)).withColumn("core_hi", F.least("ql", last + margin))
-    return d.filter((F.col("lo") - 1 >= min_flank) & (F.col("suff") >= min_flank) & (F.col("score") >= 2000)).select("seq_idx", "core_lo", "core_hi", F.substring("seq", F.col("core_lo"), F.col("core_hi") - F.col("core_lo") + 1).alias("core"))

@@ -11,7 +11,6 @@ from strandframe.operators.motif_scan import _LETTER, AMINO, A, B, C, Model, win
 
 #: fixed values: longest flanks beside the motifs, least score (hundredths) of cores and flanks, reach and least score of the C filter
 LEFT, RIGHT, LEAST, C_REACH, C_LEAST = 149, 150, 2000, 150, 500
-GAP = "xxx"
 
 
 def _permuted() -> Column:
@@ -42,8 +41,8 @@ def flanks(hits: DataFrame, left: bool, least: int = 0, least_score: int = LEAST
     return d.select("seq_idx", "abc", F.concat(F.lit("group="), "group").alias("suffix"), F.substring("seq", start, F.col("size_")).alias("flank"))
 
 
-def motif_records(hits: DataFrame, gap: str = GAP) -> DataFrame:
-    """seq_idx, abc and the three motifs with `gap` between them."""
+def motif_records(hits: DataFrame, gap: str = "") -> DataFrame:
+    """seq_idx, abc and the three motifs with `gap` between them, nothing by default."""
     return hits.filter("seq_a <> '' AND seq_b <> '' AND seq_c <> ''").select("seq_idx", "abc", F.concat_ws(gap, "seq_a", "seq_b", "seq_c").alias("motifs"))
 
 

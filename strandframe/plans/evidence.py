@@ -174,7 +174,7 @@ def sql(half_spheres: str, secondary_structure: str) -> dict:
         "right_flanks": f"WITH {_HITS} SELECT seq_idx, abc, 'group=' || \"group\" AS suffix, substr(seq, {_R}, least(150, length(seq) - ({_R}) + 1)) AS flank FROM m WHERE score >= 2000 AND {_R} < length(seq) AND least(150, length(seq) - ({_R}) + 1) >= 20",
         "hit_cores": f"WITH {_HITS}, c AS (SELECT *, least({_F} - 1, 149) AS lf, least(length(seq) - (CASE WHEN abc = 'CAB' THEN pos_a ELSE pos_c END), 150) AS rf, {_F} - least({_F} - 1, 149) AS k, CASE WHEN abc = 'CAB' THEN pos_a ELSE pos_c END AS z FROM m), "
         f"o AS (SELECT *, score >= 2000 AND lf >= 10 AND rf >= 10 AS ok FROM c) SELECT seq_idx, CASE WHEN ok THEN abc END AS abc, CASE WHEN ok THEN {_LBL.format('k')} END AS suffix, CASE WHEN ok THEN substr(seq, k, z + rf - k + 1) END AS core FROM o",
-        "hit_motifs": f"WITH {_HITS} SELECT seq_idx, abc, seq_a || 'xxx' || seq_b || 'xxx' || seq_c AS motifs FROM m WHERE \"group\" <> 'g1'",
+        "hit_motifs": f"WITH {_HITS} SELECT seq_idx, abc, seq_a || seq_b || seq_c AS motifs FROM m WHERE \"group\" <> 'g1'",
         "hit_prints": f"WITH {_HITS} SELECT seq_idx, abc, {_LO} AS suffix, substr(seq, lo, hi - lo + 1) AS print FROM m WHERE score > 1600",
         "hit_evidence": f"WITH {_HITS} SELECT concat_ws(chr(9), CAST(seq_idx AS VARCHAR), 'pssm_score=' || printf('%.1f', score / 100), 'pssm_group=' || \"group\", 'pssm_group2=' || coalesce(group2, '.'), 'pssm_diff2=' || printf('%+.1f', diff2 / 100), 'pssm_ABC=' || abc, 'pssm_seqA=' || seq_a, 'pssm_posA=' || pos_a, 'pssm_seqB=' || seq_b, 'pssm_posB=' || pos_b, 'pssm_seqC=' || seq_c, 'pssm_posC=' || pos_c) AS line FROM m",
         "c_filter": f"WITH s AS ({_SEQ}), t AS (SELECT seq_idx, string_split(seq, '') AS w, length(seq) AS n FROM s WHERE length(seq) >= 8), v AS (SELECT seq_idx, n, p, {_C.format(_OF(5, 0), _OF(5, 3))} AS s1, {_C.format(_OF(11, 0), _OF(11, 3))} AS s2 FROM (SELECT *, unnest(range(1, n - 6)) AS p FROM t)) "

@@ -3,7 +3,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandframe.functions.sequence import accession, annotation, reverse_complement
-from strandframe.operators import evaluation, merge, training, translate
+from strandframe.operators import evaluation, linkage, merge, training, translate
 from strandframe.operators.graph import connected_components
 
 
@@ -69,9 +69,9 @@ def calibrate(spark, d):
 
 
 def letters_by_column(spark, d):
-    """The first 34 letters of texts that have as many: the sum that its SQL states. letters_by_block counts whole texts."""
-    s = _t(spark, d, "documents").select("lang", F.regexp_replace(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "[^ACDEFGHIKLMNPQRSTVWY]", "").alias("s")).filter(F.length("s") >= 34)
-    return training.column_counts(s.select("lang", F.substring("s", 1, 34).alias("row")), "lang", "row")
+    """Letters by column over every column of the whole texts, which begin in the same one."""
+    s = _t(spark, d, "documents").select("lang", F.regexp_replace(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "[^ACDEFGHIKLMNPQRSTVWY]", "").alias("row"))
+    return training.column_counts(s, "lang", "row")
 
 
 def letters_by_block(spark, d):
@@ -129,6 +129,18 @@ def order_linkage(spark, d):
     return connected_components(e).withColumnRenamed("id", "node")
 
 
+def _quantities(spark, d):
+    """Parts and suppliers by number in one space, joined by the quantity of their lines."""
+    return _t(spark, d, "lineitem").select(F.col("l_partkey").cast("long").alias("src"), F.col("l_suppkey").cast("long").alias("dst"), F.col("l_quantity").cast("double").alias("w"))
+
+
+def linkage_clusters(spark, d):
+    """Single linkage at the greatest quantity, each cluster with its representative and the spread around it."""
+    e = _quantities(spark, d)
+    out = linkage.representatives(e, linkage.clusters(e, 50.0))
+    return out.select("cluster", "size", "centroid", *[F.round(c, 6).alias(c) for c in ("least", "mean", "median", "greatest")])
+
+
 def top_k(spark, d):
     w = Window.partitionBy("l_returnflag").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber")
     return _t(spark, d, "lineitem").withColumn("r", F.row_number().over(w)).filter("r <= 10").select("l_returnflag", "l_orderkey", "l_linenumber", "r")
@@ -146,7 +158,7 @@ def evidence_scores(spark, d):
 _TX = "regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g')"
 _NT = "SELECT doc_id, translate(regexp_replace(text, '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS nt FROM documents"
 _XYZ = "SELECT vec_id, label, CAST(round(CAST(embedding[1] AS DOUBLE) * 1000) AS BIGINT) AS x, CAST(round(CAST(embedding[2] AS DOUBLE) * 1000) AS BIGINT) AS y, CAST(round(CAST(embedding[3] AS DOUBLE) * 1000) AS BIGINT) AS z FROM embeddings"
-QUERIES = {f.__name__: f for f in (remove_dupes, get_labelled, get_unlabelled, accessions, six_frames, reverse_complements, fev_roundtrip, score_bins, first_fp, quartiles, gumbel_moments, calibrate, letters_by_column, letters_by_block, correlation, neighbour_counts, chain_steps, hse_pivot, hierarchy_rollup, single_linkage, order_linkage, top_k, annotate_scores, evidence_scores)}
+QUERIES = {f.__name__: f for f in (remove_dupes, get_labelled, get_unlabelled, accessions, six_frames, reverse_complements, fev_roundtrip, score_bins, first_fp, quartiles, gumbel_moments, calibrate, letters_by_column, letters_by_block, correlation, neighbour_counts, chain_steps, hse_pivot, hierarchy_rollup, single_linkage, order_linkage, linkage_clusters, top_k, annotate_scores, evidence_scores)}
 SQL = {
     "remove_dupes": "SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text",
     "get_labelled": "SELECT doc_id, CAST(length(text) AS INTEGER) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
@@ -160,7 +172,7 @@ SQL = {
     "quartiles": "WITH s AS (SELECT l_returnflag, CAST(l_quantity AS BIGINT) AS v, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) - 1 AS r, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) SELECT l_returnflag, max(n) AS n, max(v) FILTER (r = n // 4) AS q1, max(v) FILTER (r = n // 2) AS q2, max(v) FILTER (r = 3 * n // 4) AS q3 FROM s GROUP BY l_returnflag",
     "gumbel_moments": "WITH h AS (SELECT CAST(floor(l_quantity) AS BIGINT) AS bin, count(*) AS n FROM lineitem GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(bin * n) / sum(n), 6) AS mean, (SELECT bin FROM h ORDER BY n DESC, bin LIMIT 1) AS mode FROM h",
     "calibrate": "SELECT l_suppkey, least(CAST(floor(l_quantity / 5) AS BIGINT), 50) AS bin, count(*) AS n FROM lineitem GROUP BY 1, 2",
-    "letters_by_column": f"WITH s AS (SELECT lang, left({_TX}, 34) AS w FROM documents WHERE length({_TX}) >= 34), p AS (SELECT lang, w, unnest(range(1, 35)) AS col FROM s) SELECT lang, CAST(col AS INTEGER) AS col, substr(w, col, 1) AS aa, count(*) AS n FROM p GROUP BY ALL",
+    "letters_by_column": f"WITH s AS (SELECT lang, {_TX} AS w FROM documents), p AS (SELECT lang, unnest(string_split(w, '')) AS aa, unnest(range(1, len(w) + 1)) AS col FROM s WHERE w <> '') SELECT lang, CAST(col AS INTEGER) AS col, aa, count(*) AS n FROM p GROUP BY ALL",
     "letters_by_block": f"WITH s AS (SELECT lang, {_TX} AS w FROM documents), p AS (SELECT lang, unnest(string_split(w, '')) AS aa, unnest(range(len(w))) AS i FROM s WHERE w <> '') SELECT lang, CAST(i % 34 + 1 AS INTEGER) AS col, aa, count(*) AS n FROM p GROUP BY ALL",
     "correlation": "SELECT l_linestatus, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY 1",
     "neighbour_counts": f"WITH p AS ({_XYZ}) SELECT a.vec_id, count(b.vec_id) AS n FROM p a LEFT JOIN p b ON a.label = b.label AND a.vec_id <> b.vec_id AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) <= 62500 GROUP BY 1",
@@ -170,5 +182,13 @@ SQL = {
     "top_k": "SELECT l_returnflag, l_orderkey, l_linenumber, CAST(r AS INTEGER) AS r FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r <= 10",
     "annotate_scores": "SELECT CASE WHEN l_discount * 20 >= 1 THEN '|' WHEN l_discount * 20 >= 0.5 THEN '+' WHEN l_discount * 20 > 0 THEN '.' ELSE ' ' END AS mark, count(*) AS n FROM lineitem GROUP BY 1",
     "single_linkage": "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey * 2 AS u, o_orderkey % 997 * 2 + 1 AS v FROM orders), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(node, lab) AS (SELECT (SELECT min(u) FROM b), (SELECT min(u) FROM b) UNION SELECT b.v, r.lab FROM r JOIN b ON b.u = r.node) SELECT node, lab AS component FROM r",
+    "linkage_clusters": "WITH RECURSIVE q AS (SELECT l_partkey AS src, l_suppkey AS dst, max(CAST(l_quantity AS DOUBLE)) AS w FROM lineitem WHERE l_partkey <> l_suppkey GROUP BY 1, 2), "
+    "s AS (SELECT least(src, dst) AS u, greatest(src, dst) AS v, avg(w) AS w FROM q GROUP BY 1, 2), b AS (SELECT u, v FROM s WHERE w >= 50 UNION SELECT v, u FROM s WHERE w >= 50), "
+    "l AS (SELECT l_partkey AS label FROM lineitem UNION SELECT l_suppkey FROM lineitem), r(label, lab) AS (SELECT label, label FROM l UNION SELECT b.v, least(r.lab, b.v) FROM r JOIN b ON b.u = r.label WHERE r.lab < b.v), "
+    "c AS (SELECT label, min(lab) AS cluster FROM r GROUP BY label), n AS (SELECT cluster, count(*) AS size FROM c GROUP BY cluster), "
+    "e AS (SELECT x.cluster, s.u, s.v, s.w FROM s JOIN c x ON x.label = s.u JOIN c y ON y.label = s.v WHERE x.cluster = y.cluster), f AS (SELECT cluster, u AS label, w FROM e UNION ALL SELECT cluster, v, w FROM e), "
+    "t AS (SELECT cluster, label, sum(w) AS t FROM f GROUP BY ALL), m AS (SELECT n.cluster, size, CASE WHEN size > 2 THEN coalesce((SELECT arg_max(label, (t, -label)) FROM t WHERE t.cluster = n.cluster AND t > 0), n.cluster) ELSE n.cluster END AS centroid FROM n), "
+    "o AS (SELECT f.cluster, list_sort(list(f.w)) AS l FROM f JOIN m ON m.cluster = f.cluster AND m.centroid = f.label AND m.size > 2 GROUP BY f.cluster) "
+    "SELECT m.cluster, m.size, m.centroid, round(coalesce(l[1], 0), 6) AS least, round(coalesce(list_avg(l), 0), 6) AS mean, round(coalesce(l[len(l) // 2 + 1], 0), 6) AS median, round(coalesce(l[len(l)], 0), 6) AS greatest FROM m LEFT JOIN o USING (cluster)",
     "order_linkage": "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey * 2 AS u, o_orderkey * 2 + 1 AS v FROM orders), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(node, lab) AS (SELECT u, u FROM b UNION SELECT b.v, r.lab FROM r JOIN b ON b.u = r.node) SELECT node, min(lab) AS component FROM r GROUP BY node",
 }
