@@ -176,11 +176,12 @@ def triangle_search(chains: DataFrame, refs: list[Reference], limits: Limits = L
     return _over_chains(chains, f, "label string, ref string, rmsd double, pos_a long, pos_b long, pos_c long")
 
 
-def find_triangles(chains: DataFrame, stats: dict, k: float = 2.0, least: float = 0.3) -> DataFrame:
+def find_triangles(chains: DataFrame, stats: dict, k: float = 2.0, least: float = 0.3, dgd: bool = False) -> DataFrame:
     """label, score, pos_a, pos_b, pos_c (from 1) of each chain's best triangle by population statistics.
 
     stats: {"ab" | "bc" | "ac": (mean gap, its deviation, mean distance, its deviation)}; each value lies within k
-    deviations, and the score is the mean of the six ratios of the normal density to its peak.
+    deviations, and the score is the mean of the six ratios of the normal density to its peak. dgd: the motifs also
+    have a D, a G and a D at their anchors.
     """
 
     def f(label, seq, p):
@@ -194,6 +195,10 @@ def find_triangles(chains: DataFrame, stats: dict, k: float = 2.0, least: float
             upper = np.abs(zl) <= k if name != "ab" else zl >= -k  # AB has no upper bound
             masks[name] = upper & (np.abs(zd) <= k) & (gap > 0)
             score[name] = np.exp(-zl * zl / 2) + np.exp(-zd * zd / 2)
+        if dgd:
+            has = [np.array([seq[i + off : i + off + 1] == letter for i in range(len(p))], bool) for letter, off in (("D", 3), ("G", 1), ("D", 3))]
+            masks["ab"] &= has[0][:, None] & has[1][None, :]
+            masks["ac"] &= has[0][:, None] & has[2][None, :]
         t = triangles(p, masks["ab"], masks["bc"], masks["ac"])
         s = (score["ab"][t[:, 0], t[:, 1]] + score["bc"][t[:, 1], t[:, 2]] + score["ac"][t[:, 0], t[:, 2]]) / 6
         if not len(s) or s.max() <= least:

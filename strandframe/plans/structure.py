@@ -1,7 +1,7 @@
 """Chain measures on the driver tables: an embedding's 60 first values are the coordinates of a chain of 20 places."""
 from pyspark.sql import functions as F
 
-from strandframe.operators import aligned, structure
+from strandframe.operators import aligned, shapes, structure
 from strandframe.operators.first_centroid import first_centroid_clusters
 
 SCALE = 24.0
@@ -41,6 +41,23 @@ def frame_pairs(spark, d):
     return out.select("a", "b", F.round("tm", 6).alias("tm"), "path")
 
 
+def _placed(spark, d):
+    """Chains with motifs at places that go round with vec_id."""
+    at = {"pos_a": 1, "pos_b": 8, "pos_c": 14}
+    return chains(spark, d).select("*", *[(F.col("vec_id") % 3 + k).cast("int").alias(p) for p, k in at.items()])
+
+
+def shape_profile(spark, d):
+    """Mean and deviation of the 198 features over all chains."""
+    return shapes.train(shapes.features(_placed(spark, d), "vec_id")).select("feature", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+
+
+def shape_scores(spark, d):
+    """How far every chain, in its motifs' frame, has the shape of all."""
+    c = _placed(spark, d)
+    return shapes.score(c, shapes.train(shapes.features(c, "vec_id")), "vec_id").select("vec_id", F.round("score", 6).alias("score"))
+
+
 def first_centroids(spark, d):
     """Each embedding's centroid, all 64 values as points of three, by the order of vec_id."""
     out = first_centroid_clusters(spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding"), 0.26, "vec_id", "embedding")
@@ -57,8 +74,25 @@ _P = f"SELECT vec_id, CAST(i AS INTEGER) AS i, CAST(embedding[i] AS DOUBLE) * {S
 _D = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
 _SS = "abs(d13 - {0}) < {3} AND abs(d24 - {0}) < {3} AND abs(d35 - {0}) < {3} AND abs(d14 - {1}) < {3} AND abs(d25 - {1}) < {3} AND abs(d15 - {2}) < {3}"
 
-QUERIES = {"distance_matrix": distance_matrix, "secondary_structure": secondary_structure, "half_spheres": half_spheres, "dali_pairs": dali_pairs, "frame_pairs": frame_pairs, "tm_pairs": tm_pairs, "first_centroids": first_centroids}
+QUERIES = {"distance_matrix": distance_matrix, "secondary_structure": secondary_structure, "half_spheres": half_spheres, "dali_pairs": dali_pairs, "frame_pairs": frame_pairs, "tm_pairs": tm_pairs, "first_centroids": first_centroids, "shape_profile": shape_profile, "shape_scores": shape_scores}
+# smoothed points: steps -1 to 2 around (i + k) * 20 / 64, weighted by 2 less the distance from the exact place
+_SHAPE = (
+    f"p AS ({_P}), k AS (SELECT a.i, CAST(trunc((a.i + b.k) * 20 / 64.0 + 0.5) AS INTEGER) AS j, 2 - abs((a.i + b.k) * 20 / 64.0 - trunc((a.i + b.k) * 20 / 64.0 + 0.5)) AS w FROM range(0, 64) a(i), range(-1, 3) b(k)), "
+    "s AS (SELECT vec_id, CAST(k.i AS INTEGER) AS i, sum(w * x) / sum(w) AS x, sum(w * y) / sum(w) AS y, sum(w * z) / sum(w) AS z FROM k JOIN p ON p.i = k.j + 1 GROUP BY vec_id, k.i), "
+    "m AS (SELECT a.vec_id, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz, c.x AS cx, c.y AS cy, c.z AS cz FROM p a JOIN p b USING (vec_id) JOIN p c USING (vec_id) WHERE a.i = vec_id % 3 + 2 AND b.i = vec_id % 3 + 9 AND c.i = vec_id % 3 + 15), "
+    "v AS (SELECT vec_id, format('{}{:02d}', ax, i) AS feature, v FROM (SELECT vec_id, i, unnest(['X', 'Y', 'Z']) AS ax, unnest([x, y, z]) AS v FROM s) "
+    "UNION ALL SELECT vec_id, unnest(['LAB', 'LAC', 'LBC', 'dAB', 'dAC', 'dBC']), unnest([8.0, 14.0, 7.0, sqrt((ax - bx) ** 2 + (ay - by_) ** 2 + (az - bz) ** 2), sqrt((ax - cx) ** 2 + (ay - cy) ** 2 + (az - cz) ** 2), sqrt((bx - cx) ** 2 + (by_ - cy) ** 2 + (bz - cz) ** 2)]) FROM m), "
+    "t AS (SELECT feature, avg(v) AS mean, stddev_pop(v) AS sd FROM v GROUP BY feature)"
+)
 SQL = {
+    "shape_profile": f"WITH {_SHAPE} SELECT feature, round(mean, 6) AS mean, round(sd, 6) AS sd FROM t",
+    "shape_scores": f"WITH {_SHAPE}, c AS (SELECT *, (ax + bx + cx) / 3 AS mx, (ay + by_ + cy) / 3 AS my, (az + bz + cz) / 3 AS mz FROM m), "
+    "e AS (SELECT *, (bx - mx) / sqrt((bx - mx) ** 2 + (by_ - my) ** 2 + (bz - mz) ** 2) AS e1x, (by_ - my) / sqrt((bx - mx) ** 2 + (by_ - my) ** 2 + (bz - mz) ** 2) AS e1y, (bz - mz) / sqrt((bx - mx) ** 2 + (by_ - my) ** 2 + (bz - mz) ** 2) AS e1z FROM c), "
+    "g AS (SELECT *, (ax - mx) * e1x + (ay - my) * e1y + (az - mz) * e1z AS l FROM e), h AS (SELECT *, ax - mx - l * e1x AS hx, ay - my - l * e1y AS hy, az - mz - l * e1z AS hz FROM g), "
+    "o AS (SELECT *, hx / sqrt(hx * hx + hy * hy + hz * hz) AS e2x, hy / sqrt(hx * hx + hy * hy + hz * hz) AS e2y, hz / sqrt(hx * hx + hy * hy + hz * hz) AS e2z FROM h), "
+    "w AS (SELECT s.vec_id, format('{}{:02d}', unnest(['X', 'Y', 'Z']), s.i) AS feature, unnest([(x - mx) * e1x + (y - my) * e1y + (z - mz) * e1z, (x - mx) * e2x + (y - my) * e2y + (z - mz) * e2z, "
+    "(x - mx) * (e1y * e2z - e1z * e2y) + (y - my) * (e1z * e2x - e1x * e2z) + (z - mz) * (e1x * e2y - e1y * e2x)]) AS v FROM s JOIN o USING (vec_id)) "
+    "SELECT vec_id, round(avg(CASE WHEN sd > 0 THEN exp(-0.5 * ((v - mean) / sd) ** 2) ELSE CAST(v = mean AS DOUBLE) END), 6) AS score FROM w JOIN t USING (feature) GROUP BY vec_id",
     "distance_matrix": f"WITH p AS ({_P}) SELECT a.vec_id, a.i, b.i AS j, round({_D}, 4) AS dist FROM p a JOIN p b ON a.vec_id = b.vec_id AND a.i < b.i",
     "secondary_structure": f"WITH p AS ({_P}), q AS (SELECT a.vec_id, a.i, b.i AS j, {_D} AS d FROM p a JOIN p b ON a.vec_id = b.vec_id AND b.i BETWEEN a.i AND a.i + 4), "
     "s AS (SELECT m.vec_id, m.i, d13.d AS d13, d14.d AS d14, d15.d AS d15, d24.d AS d24, d25.d AS d25, d35.d AS d35 FROM p m "
