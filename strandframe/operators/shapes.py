@@ -3,9 +3,12 @@
 Features are expressions of one row, exploded to (feature, value) rows; training is a grouped mean and deviation of 198
 features, and the search joins that table, which is broadcast for its fixed size.
 """
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandframe.functions.geometry import canonical_frame
 from strandframe.operators.features import smoothed
 from strandframe.operators.structure import find_triangles
 
@@ -27,10 +30,6 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
-def _unit(a: Column) -> Column:
-    return F.transform(a, lambda x: x / F.sqrt(_dot(a, a)))
-
-
 def _points(chains: DataFrame, key: str, more: list) -> DataFrame:
     """key, more, i and the smoothed point p (x, y, z) of each of the 64 steps of chains that have places."""
     i = chains.filter(F.size("xs") > 0).select(key, *more, "xs", "ys", "zs", F.explode(F.sequence(F.lit(0), F.lit(POINTS - 1))).alias("i"))
@@ -54,15 +53,21 @@ def train(values: DataFrame) -> DataFrame:
     return values.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
 
 
-def frame(chains: DataFrame) -> DataFrame:
-    """chains with mid and the axes e1, e2, e3 of the motifs' triangle: b lies on the first axis, a in the first plane."""
-    mid = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: (F.get("pa", k) + F.get("pb", k) + F.get("pc", k)) / 3)
-    d = chains.withColumn("pa", _place("pos_a")).withColumn("pb", _place("pos_b")).withColumn("pc", _place("pos_c")).withColumn("mid", mid)
-    d = d.withColumn("e1", _unit(_less(F.col("pb"), F.col("mid")))).withColumn("to_a", _less(F.col("pa"), F.col("mid")))
-    d = d.withColumn("along", _dot(F.col("to_a"), F.col("e1"))).withColumn("e2", _unit(F.zip_with("to_a", "e1", lambda x, e: x - F.col("along") * e)))
-    g = lambda c, k: F.get(c, F.lit(k))
-    cross = F.array(*[g("e1", (k + 1) % 3) * g("e2", (k + 2) % 3) - g("e1", (k + 2) % 3) * g("e2", (k + 1) % 3) for k in range(3)])
-    return d.withColumn("e3", cross).drop("pa", "pb", "pc", "to_a", "along")
+def frame(chains: DataFrame, key: str = "label") -> DataFrame:
+    """key, xs, ys, zs, mid and the axes e1, e2, e3 of the motifs' triangle: b lies on the first axis, a in the first plane."""
+    kind = chains.schema[key].dataType.simpleString()
+    names = [key, "xs", "ys", "zs", "mid", "e1", "e2", "e3"]
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for k, a, b, c, *xyz in f.itertuples(index=False):
+                p = np.array(xyz, float).T
+                shift, axes = canonical_frame(p[int(a)], p[int(b)], p[int(c)])
+                rows.append((k, *xyz, (-shift).tolist(), *axes.tolist()))
+            yield pd.DataFrame(rows, columns=names)
+
+    return chains.select(key, "pos_a", "pos_b", "pos_c", "xs", "ys", "zs").mapInPandas(run, f"{key} {kind}, " + ", ".join(f"{c} array<double>" for c in names[1:]))
 
 
 def score(chains: DataFrame, profile: DataFrame, key: str = "label") -> DataFrame:
@@ -70,7 +75,7 @@ def score(chains: DataFrame, profile: DataFrame, key: str = "label") -> DataFram
 
     A deviation of 0 gives 1 where the value is the mean and 0 elsewhere. Motifs outside the chain, or on one line, leave the row out."""
     good = chains.filter(" AND ".join(f"pos_{m} >= 0 AND pos_{m} < size(xs)" for m in "abc"))
-    p = _points(frame(good), key, ["mid", "e1", "e2", "e3"])
+    p = _points(frame(good, key), key, ["mid", "e1", "e2", "e3"])
     axes = F.array(*[F.struct(F.format_string(f"{x}%02d", "i").alias("feature"), _dot(_less(F.col("p"), F.col("mid")), F.col(e)).alias("value")) for x, e in zip("XYZ", ("e1", "e2", "e3"), strict=True)])
     v = p.select(key, F.explode(axes).alias("f")).select(key, "f.*").filter("value IS NOT NULL AND NOT isnan(value)").join(F.broadcast(profile), "feature")
     z = (F.col("value") - F.col("mean")) / F.col("sd")

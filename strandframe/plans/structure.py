@@ -1,7 +1,7 @@
 """Chain measures on the driver tables: an embedding's 60 first values are the coordinates of a chain of 20 places."""
 from pyspark.sql import functions as F
 
-from strandframe.operators import aligned, shapes, structure
+from strandframe.operators import aligned, densities, shapes, structure
 from strandframe.operators.first_centroid import first_centroid_clusters
 
 SCALE = 24.0
@@ -58,6 +58,16 @@ def shape_scores(spark, d):
     return shapes.score(c, shapes.train(shapes.features(c, "vec_id")), "vec_id").select("vec_id", F.round("score", 6).alias("score"))
 
 
+def side_spheres(spark, d):
+    """Places in a sphere of radius 8 that touches each place of every chain on its side chain's side."""
+    return densities.side_spheres(chains(spark, d), 8.0, "vec_id")
+
+
+def cavity_numbers(spark, d):
+    """Places between each place of every chain and the cavity of its motifs."""
+    return densities.cavity_numbers(_placed(spark, d), "vec_id")
+
+
 def first_centroids(spark, d):
     """Each embedding's centroid, all 64 values as points of three, by the order of vec_id."""
     out = first_centroid_clusters(spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding"), 0.26, "vec_id", "embedding")
@@ -74,7 +84,7 @@ _P = f"SELECT vec_id, CAST(i AS INTEGER) AS i, CAST(embedding[i] AS DOUBLE) * {S
 _D = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
 _SS = "abs(d13 - {0}) < {3} AND abs(d24 - {0}) < {3} AND abs(d35 - {0}) < {3} AND abs(d14 - {1}) < {3} AND abs(d25 - {1}) < {3} AND abs(d15 - {2}) < {3}"
 
-QUERIES = {"distance_matrix": distance_matrix, "secondary_structure": secondary_structure, "half_spheres": half_spheres, "dali_pairs": dali_pairs, "frame_pairs": frame_pairs, "tm_pairs": tm_pairs, "first_centroids": first_centroids, "shape_profile": shape_profile, "shape_scores": shape_scores}
+QUERIES = {"distance_matrix": distance_matrix, "secondary_structure": secondary_structure, "half_spheres": half_spheres, "dali_pairs": dali_pairs, "frame_pairs": frame_pairs, "tm_pairs": tm_pairs, "first_centroids": first_centroids, "shape_profile": shape_profile, "shape_scores": shape_scores, "side_spheres": side_spheres, "cavity_numbers": cavity_numbers}
 # smoothed points: steps -1 to 2 around (i + k) * 20 / 64, weighted by 2 less the distance from the exact place
 _SHAPE = (
     f"p AS ({_P}), k AS (SELECT a.i, CAST(trunc((a.i + b.k) * 20 / 64.0 + 0.5) AS INTEGER) AS j, 2 - abs((a.i + b.k) * 20 / 64.0 - trunc((a.i + b.k) * 20 / 64.0 + 0.5)) AS w FROM range(0, 64) a(i), range(-1, 3) b(k)), "
@@ -85,6 +95,17 @@ _SHAPE = (
     "t AS (SELECT feature, avg(v) AS mean, stddev_pop(v) AS sd FROM v GROUP BY feature)"
 )
 SQL = {
+    "side_spheres": f"WITH p AS ({_P}), d AS (SELECT *, 2 * x - lag(x) OVER w - lead(x) OVER w AS dx, 2 * y - lag(y) OVER w - lead(y) OVER w AS dy, 2 * z - lag(z) OVER w - lead(z) OVER w AS dz FROM p WINDOW w AS (PARTITION BY vec_id ORDER BY i)), "
+    "c AS (SELECT vec_id, i, x + 8 * dx / sqrt(dx * dx + dy * dy + dz * dz) AS cx, y + 8 * dy / sqrt(dx * dx + dy * dy + dz * dz) AS cy, z + 8 * dz / sqrt(dx * dx + dy * dy + dz * dz) AS cz FROM d) "
+    "SELECT c.vec_id, c.i AS pos, count(p.i) AS n FROM c LEFT JOIN p ON p.vec_id = c.vec_id AND sqrt((p.x - cx) * (p.x - cx) + (p.y - cy) * (p.y - cy) + (p.z - cz) * (p.z - cz)) <= 8 GROUP BY ALL",
+    "cavity_numbers": f"WITH p AS ({_P}), m AS (SELECT a.vec_id, (a.x + b.x + c.x) / 3 AS mx, (a.y + b.y + c.y) / 3 AS my, (a.z + b.z + c.z) / 3 AS mz, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz "
+    "FROM p a JOIN p b USING (vec_id) JOIN p c USING (vec_id) WHERE a.i = vec_id % 3 + 2 AND b.i = vec_id % 3 + 9 AND c.i = vec_id % 3 + 15), "
+    "t AS (SELECT *, sqrt((bx - mx) ** 2 + (by_ - my) ** 2 + (bz - mz) ** 2) AS l FROM m), e AS (SELECT *, (bx - mx) / l AS ex, (by_ - my) / l AS ey, (bz - mz) / l AS ez FROM t), "
+    "g AS (SELECT *, (ax - mx) * ex + (ay - my) * ey + (az - mz) * ez AS k FROM e), h AS (SELECT *, ax - mx - k * ex AS hx, ay - my - k * ey AS hy, az - mz - k * ez AS hz FROM g), "
+    "o AS (SELECT vec_id, mx, my, mz, ex, ey, ez, hx / sqrt(hx * hx + hy * hy + hz * hz) AS nx, hy / sqrt(hx * hx + hy * hy + hz * hz) AS ny, hz / sqrt(hx * hx + hy * hy + hz * hz) AS nz FROM h), "
+    "v AS (SELECT vec_id, mx + 3 * ex - 10 * (ey * nz - ez * ny) AS ox, my + 3 * ey - 10 * (ez * nx - ex * nz) AS oy, mz + 3 * ez - 10 * (ex * ny - ey * nx) AS oz FROM o), "
+    "c AS (SELECT p.vec_id, p.i, (x + ox) / 2 AS cx, (y + oy) / 2 AS cy, (z + oz) / 2 AS cz, sqrt((x - ox) ** 2 + (y - oy) ** 2 + (z - oz) ** 2) / 4 AS r FROM p JOIN v USING (vec_id)) "
+    "SELECT c.vec_id, c.i AS pos, count(p.i) AS n FROM c LEFT JOIN p ON p.vec_id = c.vec_id AND sqrt((p.x - cx) * (p.x - cx) + (p.y - cy) * (p.y - cy) + (p.z - cz) * (p.z - cz)) <= r GROUP BY ALL",
     "shape_profile": f"WITH {_SHAPE} SELECT feature, round(mean, 6) AS mean, round(sd, 6) AS sd FROM t",
     "shape_scores": f"WITH {_SHAPE}, c AS (SELECT *, (ax + bx + cx) / 3 AS mx, (ay + by_ + cy) / 3 AS my, (az + bz + cz) / 3 AS mz FROM m), "
     "e AS (SELECT *, (bx - mx) / sqrt((bx - mx) ** 2 + (by_ - my) ** 2 + (bz - mz) ** 2) AS e1x, (by_ - my) / sqrt((bx - mx) ** 2 + (by_ - my) ** 2 + (bz - mz) ** 2) AS e1y, (bz - mz) / sqrt((bx - mx) ** 2 + (by_ - my) ** 2 + (bz - mz) ** 2) AS e1z FROM c), "
