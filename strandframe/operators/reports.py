@@ -108,10 +108,26 @@ def reports(hits: DataFrame, model: Model, label: str = "seq_idx") -> DataFrame:
     return hits.mapInPandas(run, "seq_idx long, report string")
 
 
+def merge_c_hits(scores: np.ndarray, more_than: int) -> dict[int, tuple[int, int]]:
+    """place -> (score, group) of the motif C scores (group, place) over `more_than`, group after group.
+
+    A group whose hit falls on a place that is already known keeps the better of the two there and ends: its later hits are not taken."""
+    found: dict[int, tuple[int, int]] = {}
+    for g, row in enumerate(scores):
+        for p in np.flatnonzero(row > more_than).tolist():
+            known = p in found
+            if not known or row[p] > found[p][0]:
+                found[p] = (int(row[p]), g)
+            if known:
+                break
+    return found
+
+
 def c_filter(seqs: DataFrame, model: Model, least: int = C_LEAST) -> DataFrame:
-    """seq_idx, pos (from 1), score, group, lo, hi: the best group of each place where motif C alone reaches `least`, and the window around it."""
+    """seq_idx, pos (from 1), score, group, lo, hi, seq_c, consensus: the places where motif C alone reaches `least`, and the window around each."""
 
     def run(frames):
+        best = [model.consensus[n][2] if model.consensus else "".join(AMINO[int(max(range(20), key=lambda a, r=r: r[a]))] for r in t[2]) for n, t in zip(model.names, model.tables, strict=True)]
         for f in frames:
             out = []
             for i, s in zip(f["seq_idx"], f["seq"], strict=True):
@@ -119,11 +135,10 @@ def c_filter(seqs: DataFrame, model: Model, least: int = C_LEAST) -> DataFrame:
                 codes = _LETTER[np.frombuffer(s.encode("latin-1", "replace"), np.uint8)]
                 if len(codes) < C:
                     continue
-                all_ = np.stack([window_scores(codes, t[2]) for t in model.tables])
-                best = all_.argmax(0)  # the first of equal groups
-                top = all_[best, np.arange(all_.shape[1])]
-                for p in np.flatnonzero((top >= least) & (top > model.min_c)).tolist():
-                    out.append((i, p + 1, int(top[p]), model.names[best[p]], max(0, p - C_REACH) + 1, min(len(s) - 1, p + C + C_REACH) + 1))
-            yield pd.DataFrame(out, columns=["seq_idx", "pos", "score", "group", "lo", "hi"])
-
-    return seqs.select("seq_idx", "seq").mapInPandas(run, "seq_idx long, pos int, score int, group string, lo int, hi int")
+                found = merge_c_hits(np.stack([window_scores(codes, t[2]) for t in model.tables]), model.min_c)
+                for p, (score, g) in sorted(found.items()):
+                    if score >= least:
+                        out.append((i, p + 1, score, model.names[g], max(0, p - C_REACH) + 1, min(len(s) - 1, p + C + C_REACH) + 1, s[p : p + C], best[g]))
+            yield pd.DataFrame(out, columns=["seq_idx", "pos", "score", "group", "lo", "hi", "seq_c", "consensus"])
+
+    return seqs.select("seq_idx", "seq").mapInPandas(run, "seq_idx long, pos int, score int, group string, lo int, hi int, seq_c string, consensus string")

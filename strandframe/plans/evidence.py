@@ -177,8 +177,11 @@ def sql(half_spheres: str, secondary_structure: str) -> dict:
         "hit_motifs": f"WITH {_HITS} SELECT seq_idx, abc, seq_a || seq_b || seq_c AS motifs FROM m WHERE \"group\" <> 'g1'",
         "hit_prints": f"WITH {_HITS} SELECT seq_idx, abc, {_LO} AS suffix, substr(seq, lo, hi - lo + 1) AS print FROM m WHERE score > 1600",
         "hit_evidence": f"WITH {_HITS} SELECT concat_ws(chr(9), CAST(seq_idx AS VARCHAR), 'pssm_score=' || printf('%.1f', score / 100), 'pssm_group=' || \"group\", 'pssm_group2=' || coalesce(group2, '.'), 'pssm_diff2=' || printf('%+.1f', diff2 / 100), 'pssm_ABC=' || abc, 'pssm_seqA=' || seq_a, 'pssm_posA=' || pos_a, 'pssm_seqB=' || seq_b, 'pssm_posB=' || pos_b, 'pssm_seqC=' || seq_c, 'pssm_posC=' || pos_c) AS line FROM m",
-        "c_filter": f"WITH s AS ({_SEQ}), t AS (SELECT seq_idx, string_split(seq, '') AS w, length(seq) AS n FROM s WHERE length(seq) >= 8), v AS (SELECT seq_idx, n, p, {_C.format(_OF(5, 0), _OF(5, 3))} AS s1, {_C.format(_OF(11, 0), _OF(11, 3))} AS s2 FROM (SELECT *, unnest(range(1, n - 6)) AS p FROM t)) "
-        "SELECT seq_idx, CAST(p AS INTEGER) AS pos, CAST(greatest(s1, s2) AS INTEGER) AS score, CASE WHEN s1 >= s2 THEN 'g1' ELSE 'g2' END AS \"group\", CAST(greatest(0, p - 151) + 1 AS INTEGER) AS lo, CAST(least(n - 1, p - 1 + 158) + 1 AS INTEGER) AS hi FROM v WHERE greatest(s1, s2) >= 400",
+        "c_filter": f"WITH s AS ({_SEQ}), t AS (SELECT seq_idx, string_split(seq, '') AS w, length(seq) AS n FROM s WHERE length(seq) >= 8), v AS (SELECT seq_idx, n, p, array_to_string(w[p : p + 7], '') AS seq_c, {_C.format(_OF(5, 0), _OF(5, 3))} AS s1, {_C.format(_OF(11, 0), _OF(11, 3))} AS s2 FROM (SELECT *, unnest(range(1, n - 6)) AS p FROM t)) "
+        ", h AS (SELECT *, s1 > 300 AS h1, s2 > 300 AS h2 FROM v WHERE s1 > 300 OR s2 > 300), k AS (SELECT *, min(p) FILTER (h1 AND h2) OVER (PARTITION BY seq_idx) AS d FROM h), "
+        "x AS (SELECT *, NOT h1 OR coalesce(p = d AND s2 > s1, false) AS second FROM k WHERE h1 OR d IS NULL OR p < d), y AS (SELECT *, CASE WHEN second THEN s2 ELSE s1 END AS score FROM x) "
+        "SELECT seq_idx, CAST(p AS INTEGER) AS pos, CAST(score AS INTEGER) AS score, CASE WHEN second THEN 'g2' ELSE 'g1' END AS \"group\", CAST(greatest(0, p - 151) + 1 AS INTEGER) AS lo, CAST(least(n - 1, p - 1 + 158) + 1 AS INTEGER) AS hi, "
+        f"seq_c, CASE WHEN second THEN '{''.join(_OF(11, 0))}' ELSE '{''.join(_OF(5, 0))}' END AS consensus FROM y WHERE score >= 400",
         "merge_records": f"WITH s AS (SELECT * FROM ({_SEQ}) WHERE length(seq) > 0), v AS (SELECT seq_idx, seq, {_MOTIF(1, 6)} AS ma, CASE WHEN seq_idx % 3 = 0 THEN substr(seq, 90, 5) ELSE {_MOTIF(2, 3)} END AS mb, {_MOTIF(3, 5)} AS mc FROM s), q AS (SELECT *, CAST(length(seq) AS INTEGER) AS n, {_POS.format('a')}, {_POS.format('b')}, {_POS.format('c')} FROM v), "
         "r AS (SELECT *, CASE WHEN a < c THEN '150AC150' WHEN c < b THEN '150CB150' WHEN b IS NOT NULL THEN '200B200' WHEN c IS NOT NULL THEN '250C150' WHEN a IS NOT NULL THEN '150A250' ELSE 'aln' END AS method FROM q) "
         "SELECT seq_idx, ma, mb, mc, a, b, c, CAST(CASE method WHEN '150AC150' THEN greatest(1, a - 150) WHEN '150CB150' THEN greatest(1, c - 150) WHEN '200B200' THEN greatest(1, b - 200) WHEN '250C150' THEN greatest(1, c - 250) WHEN '150A250' THEN greatest(1, a - 150) ELSE CASE WHEN seq_idx % 7 <> 0 THEN 5 ELSE 9 END END AS INTEGER) AS trim_lo, "

@@ -84,3 +84,13 @@ def test_evidence_queries_agree_with_sql(spark):
         q = con.execute(registry.oracle_sql()[name])
         cols = [c[0] for c in q.description]
         assert sorted(map(str, (tuple(r[c] for c in cols) for r in df.collect()))) == sorted(map(str, q.fetchall())), name
+
+
+def test_c_filter_ends_a_group_at_a_known_place():
+    import numpy as np
+
+    from strandframe.operators.reports import merge_c_hits
+
+    scores = np.array([[0, 5, 0, 9, 0, 0], [7, 0, 0, 8, 9, 0], [0, 6, 0, 0, 0, 9]])
+    assert merge_c_hits(scores, 4) == {1: (6, 2), 3: (9, 0), 0: (7, 1)}  # the second group ends at 3, the third at 1, which it takes
+    assert merge_c_hits(scores[:1], 5) == {3: (9, 0)}
