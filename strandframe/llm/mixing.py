@@ -2,9 +2,10 @@
 
 Golden-ratio points fall into the sources' cumulative shares; a slot's rank within its source names the equal-token
 block it takes of that source's shuffled stream, which repeats up to `most` times. What a source gives is what the
-points ask of it: a few blocks more or less than its target. Sources are few: their table is ordered in one task. Null texts have size 0 and are
-never taken; a null source is a source of its own, last in order; repeated rows are rows of their own; an empty
-table gives no rows. Reruns agree: the shuffle is a hash of doc_id.
+points ask of it: a few of its own blocks more or less than its target. Sources are few: their table is ordered in one
+task. Null texts have size 0 and are never taken; a null source is a source of its own, last in order; repeated rows
+are rows of their own; an empty table gives no rows; columns beside doc_id, source and text are not read. Reruns agree:
+the shuffle is a hash of doc_id, or of the text where that is null.
 """
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -45,16 +46,20 @@ def targets(sizes: DataFrame, most: float = 3.0, weights=(1, 2, 3)) -> DataFrame
     return w.select("source", "source_size", F.coalesce(F.least("cap", F.col("L") * F.col("w")), F.col("cap")).alias("target"))
 
 
-def block_words(shares: DataFrame, most: int = BLOCK, parts: int = 200) -> int:
-    """Words a block: at most `most`, and small enough that the least target is `parts` blocks."""
-    least = shares.filter("target > 0").agg(F.min("target")).first()[0] or 0
-    return int(max(8, min(most, least // parts)))
+def blocks(shares: DataFrame, most: int = BLOCK, parts: int = 200) -> DataFrame:
+    """shares with block, the words of each of the source's blocks: at most `most`, and small enough that its own target is `parts` blocks.
 
+    A source's slots are target / block, so that every stretch of slots holds words in the ratio of the targets whatever
+    the blocks' sizes; a small source adds few slots and leaves the others' as they are."""
+    return shares.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.col("target") / parts))).cast("long"))
 
-def schedule(shares: DataFrame, block: int) -> DataFrame:
-    """slot, source, rank: slot k's source is the one in whose share of [0, 1) the k-th golden-ratio point falls; rank counts the source's slots so far."""
+
+def schedule(shares: DataFrame) -> DataFrame:
+    """slot, source, rank: slot k's source is the one in whose share of [0, 1) the k-th golden-ratio point falls; rank counts the source's slots so far.
+
+    shares has source, target and block; a source's share goes by its blocks."""
     spark = shares.sparkSession
-    t = shares.filter("target > 0").withColumn("want", F.col("target") / block)
+    t = shares.filter("target > 0").withColumn("want", F.col("target") / F.col("block"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
     t = t.withColumn("hi", F.sum("want").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     whole, n = t.agg(F.coalesce(F.max("hi"), F.lit(0.0)), F.count("*")).first()
@@ -72,7 +77,9 @@ def schedule(shares: DataFrame, block: int) -> DataFrame:
 
 def place(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     """Each row's place in its source's shuffled stream (source, bucket, nth, at), and the sizes."""
-    sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id", F.lit(seed)).alias("h"))
+    h = F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(seed))).otherwise(F.xxhash64("doc_id", F.lit(seed)))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    sizes = docs.select("doc_id", "source", size.alias("size"), h.alias("h"))
     sizes = materialize(sizes, "mix-sizes")
     buckets = max(64, sizes.count() // 2000)
     s = sizes.withColumn("bucket", F.pmod("h", F.lit(buckets)))
@@ -86,18 +93,20 @@ def place(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
 def stream(docs: DataFrame, most: int = 3, block: int | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """The mix as pieces in order (slot, at): source, rank, doc_id, start and words of the piece; and the placed rows.
 
-    Pass p of a source's stream has its row at [at + p * source_size, + size); block r is its words [r * block, (r + 1) * block)."""
+    Pass p of a source's stream has its row at [at + p * source_size, + size); block r is its words [r * block, (r + 1) * block).
+    block: words a block for every source; None takes each source's own (`blocks`)."""
     at, sizes = place(docs, seed)
-    shares = materialize(targets(sizes, most), "mix-targets")
-    block = block or block_words(shares)
-    slots = materialize(schedule(shares, block), "mix-slots")
+    shares = targets(sizes, most)
+    shares = materialize(shares.withColumn("block", F.lit(block).cast("long")) if block else blocks(shares), "mix-targets")
+    slots = materialize(schedule(shares), "mix-slots")
     shares = _join(shares, slots.groupBy("source").agg(F.count("*").alias("slots")), ["source"], "left")
-    placed = materialize(_join(at, shares, ["source"]).select("doc_id", "source", "size", "bucket", "nth", "at", "source_size", "target", F.coalesce("slots", F.lit(0)).alias("slots")), "mix-placed")
+    placed = materialize(_join(at, shares, ["source"]).select("doc_id", "source", "size", "bucket", "nth", "at", "source_size", "target", "block", F.coalesce("slots", F.lit(0)).alias("slots")), "mix-placed")
     runs = placed.filter("size > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("p"))
-    runs = runs.withColumn("lo", F.col("at") + F.col("p") * F.col("source_size")).withColumn("hi", F.least(F.col("lo") + F.col("size"), F.col("slots") * block)).filter("lo < hi")
-    pieces = runs.select("source", "bucket", "nth", "doc_id", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))).alias("rank"))
-    first = F.greatest("lo", F.col("rank") * block)
-    pieces = pieces.select("source", "rank", "bucket", "nth", "doc_id", first.alias("at"), (first - F.col("lo")).alias("start"), (F.least("hi", (F.col("rank") + 1) * block) - first).alias("words"))
+    runs = runs.withColumn("lo", F.col("at") + F.col("p") * F.col("source_size")).withColumn("hi", F.least(F.col("lo") + F.col("size"), F.col("slots") * F.col("block"))).filter("lo < hi")
+    ranks = F.expr("sequence(lo div block, (hi - 1) div block)")
+    pieces = runs.select("source", "bucket", "nth", "doc_id", "lo", "hi", "block", F.explode(ranks).alias("rank"))
+    first = F.greatest("lo", F.col("rank") * F.col("block"))
+    pieces = pieces.select("source", "rank", "bucket", "nth", "doc_id", first.alias("at"), (first - F.col("lo")).alias("start"), (F.least("hi", (F.col("rank") + 1) * F.col("block")) - first).alias("words"))
     return _join(pieces, slots, ["source", "rank"]), placed
 
 

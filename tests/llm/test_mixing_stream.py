@@ -45,3 +45,25 @@ def test_stream_edges(spark):
     rows = [(1, None, None), (None, "a b", None), (2, "a b", "s"), (2, "a b", "s"), (3, "", "s")]
     got = mixing.mix(spark.createDataFrame(rows, schema)).collect()
     assert len(got) == 5 and all(r.taken <= 3 * r.size for r in got)
+
+
+def test_tiny_source_leaves_the_others(spark):
+    schema = "doc_id long, text string, source string, size int, rank int, slots int, block int"
+    rows = [(i, " ".join(["w"] * 877), f"s{i % 3}", 1, 1, 1, 1) for i in range(400)]
+    tiny = (1000, "one two three", "t", 1, 1, 1, 1)
+    without, with_ = (spark.createDataFrame(r, schema) for r in (rows, rows + [tiny]))
+    (a, placed_a), (b, placed_b) = mixing.stream(without), mixing.stream(with_)
+    assert placed_b.filter("source = 't'").select("block", "target").first() == (1, 9.0)
+    size = {r.source: r.block for r in placed_b.select("source", "block").distinct().collect()}
+    alone = {r.source: r.block for r in placed_a.select("source", "block").distinct().collect()}
+    assert all(abs(size[s] - n) <= 1 for s, n in alone.items())  # three words more to share may move a target's 200th part by one
+    slots = [x.select("slot").distinct().count() for x in (a, b)]
+    assert abs(slots[1] - slots[0]) <= 9 + 4 and b.count() <= a.count() + 40
+    taken = {r.source: (r.taken, r.target) for r in mixing.mix(with_).groupBy("source").agg({"taken": "sum", "target": "max"}).toDF("source", "taken", "target").collect()}
+    assert all(abs(got - want) <= 3 * size[s] for s, (got, want) in taken.items())
+
+
+def test_null_ids_spread(spark):
+    docs = spark.createDataFrame([(None, f"word {i}", "s") for i in range(3000)], "doc_id long, text string, source string")
+    placed, _ = mixing.place(docs, 17)
+    assert placed.select("bucket").distinct().count() > 40
