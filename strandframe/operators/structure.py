@@ -224,33 +224,3 @@ def contact_maps(chains: DataFrame) -> DataFrame:
             yield pd.concat(out) if out else pd.DataFrame({"label": [], "i": [], "j": [], "value": []})
 
     return chains.select("label", "xs", "ys", "zs", "pos_a", "pos_b", "pos_c").mapInPandas(run, "label string, i long, j long, value double")
-
-
-def greedy_clusters(rows: np.ndarray, least: float, score) -> list[tuple[int, int]]:
-    """(centroid, member) of a bounded set: the row with most unassigned partners at `least` leads, the first of equals."""
-    n = len(rows)
-    near = np.array([[score(rows[i], rows[j]) >= least or i == j for j in range(n)] for i in range(n)], bool).reshape(n, n)
-    free, out = np.ones(n, bool), []
-    while free.any():
-        lead = int(np.where(free, (near & free).sum(1), -1).argmax())
-        members = np.flatnonzero(near[lead] & free)
-        out += [(lead, int(m)) for m in members]
-        free[members] = False
-    return out
-
-
-def join_tree(labels: list[str], scores: np.ndarray) -> str:
-    """Newick tree of a bounded set: the pair of highest score is joined, and scores are averaged by root sizes."""
-    s = np.array(scores, float)
-    np.fill_diagonal(s, -np.inf)
-    names, size, live = list(labels), np.ones(len(labels)), list(range(len(labels)))
-    while len(live) > 1:
-        sub = s[np.ix_(live, live)]
-        i, j = sorted(live[k] for k in np.unravel_index(int(sub.argmax()), sub.shape))
-        wi, wj = np.sqrt(size[i]), np.sqrt(size[j])
-        for k in live:
-            if k not in (i, j):
-                s[i, k] = s[k, i] = (wi * s[i, k] + wj * s[j, k]) / (wi + wj)
-        names[i], size[i] = f"({names[i]},{names[j]})", size[i] + size[j]
-        live.remove(j)
-    return f"{names[live[0]]};" if live else ";"

@@ -59,12 +59,6 @@ def test_contact_maps(spark):
     assert len(got) == 34 * 33 // 2 and got[13, 1] == pytest.approx(np.linalg.norm(p[50] - p[5]))
 
 
-def test_clusters_and_tree():
-    rows = np.array([0.0, 0.1, 5.0, 5.1, 5.2, 9.0])
-    assert st.greedy_clusters(rows, -0.15, lambda a, b: -abs(a - b)) == [(3, 2), (3, 3), (3, 4), (0, 0), (0, 1), (5, 5)]
-    assert st.join_tree(["a", "b", "c"], [[0, 1, 3], [1, 0, 2], [3, 2, 0]]) == "((a,c),b);" and st.join_tree([], np.zeros((0, 0))) == ";"
-
-
 @pytest.mark.parametrize("name", sorted(plans.SQL))
 def test_sql(spark, name):
     d = "/root/testdata/sf0.001"
