@@ -30,3 +30,21 @@ def test_counts_by_all_pairs(spark):
             want[k, i + 1] = int((np.linalg.norm(p - c, axis=1) <= np.linalg.norm(p[i] - c) / 2).sum())
     assert got == want and max(got.values()) > 0
     assert densities.side_spheres(d.limit(0), 4.0).collect() == []
+
+
+def test_long_chains_by_all_pairs(monkeypatch):
+    monkeypatch.setattr(densities, "PAIRS", 500)
+    p = walk(5, 700)
+    c, r = p[::3] + 1.5, np.random.default_rng(6).uniform(0.01, 9, 234)
+    c[4], r[7] = np.nan, np.nan
+    want = [int((np.linalg.norm(p - x, axis=1) <= v).sum()) if v == v and (x == x).all() else 0 for x, v in zip(c, r, strict=True)]
+    assert densities.sphere_counts(p, c, r).tolist() == want and max(want) > 20
+    for some in (1, 500):
+        monkeypatch.setattr(densities, "PAIRS", some)
+        assert densities.sphere_counts(p[:40], c[:3], r[:3]).tolist() == [int((np.linalg.norm(p[:40] - x, axis=1) <= v).sum()) for x, v in zip(c[:3], r[:3], strict=True)]
+
+
+def test_plan_stays_small(spark):
+    """Centres written out for each of 27 cells made a plan that filled the driver."""
+    d = spark.createDataFrame([("a", [1.0], [1.0], [1.0])], "label string, xs array<double>, ys array<double>, zs array<double>")
+    assert len(densities.side_spheres(d, 4.0)._jdf.queryExecution().optimizedPlan().toString()) < 5_000
