@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from strandframe.functions.geometry import canonical_frame
 from strandframe.operators.structure import SIZES
 
+#: places that are put out at a time
+PORTION = 1 << 18
+
 
 def faults(chains: DataFrame, key: str = "label", core: bool = False) -> DataFrame:
     """key, fault: chains whose motifs are missing, overlap, or leave the chain; a core also begins with A and ends with C."""
@@ -38,7 +41,7 @@ def _moved(chains: DataFrame, key: str, cut: bool) -> DataFrame:
 
     def run(frames):
         for f in frames:
-            rows = []
+            rows, n = [], 0
             for k, seq, a, b, c, *xyz in f.itertuples(index=False):
                 if pd.isna([a, b, c]).any() or seq is None or any(v is None for v in xyz):
                     continue
@@ -48,7 +51,11 @@ def _moved(chains: DataFrame, key: str, cut: bool) -> DataFrame:
                     continue
                 shift, turn = canonical_frame(p[a], p[b], p[c])
                 lo, hi = (a, c + SIZES[2]) if cut else (0, len(p))
-                rows.append((k, seq[lo:hi], a - lo, b - lo, c - lo, *((p[lo:hi] + shift) @ turn.T).T.tolist()))
+                rows.append((k, seq[lo:hi], a - lo, b - lo, c - lo, *((p[lo:hi] + shift) @ turn.T).T))
+                n += hi - lo
+                if n >= PORTION:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, n = [], 0
             yield pd.DataFrame(rows, columns=names)
 
     return chains.select(*names).mapInPandas(run, f"{key} {kind}, seq string, pos_a int, pos_b int, pos_c int, xs array<double>, ys array<double>, zs array<double>")
