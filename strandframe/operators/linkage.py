@@ -1,10 +1,12 @@
 """Single linkage over a table of similarities, with each cluster's representative and the spread around it.
 
-Only the edge table is joined and summed: no matrix is held and no cluster is gathered.
+Only the edge table is joined and summed: no matrix is held and no cluster is gathered. What several steps read is a table
+in the shared folder, which the result reads too.
 """
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandframe.operators.first_centroid import _Tables
 from strandframe.operators.graph import connected_components
 from strandframe.operators.training import quartiles
 
@@ -27,17 +29,22 @@ def representatives(edges: DataFrame, members: DataFrame) -> DataFrame:
 
     Under three members, or where no sum is above 0, the least label leads; of equal sums too. Under three members the spread is 0.
     All known similarities within the cluster count, those under the threshold too; median is the value at place n / 2 from 0."""
+    tables = _Tables(edges.sparkSession)
+    members = tables.keep(members.select("label", "cluster"), "members")
     s = symmetric(edges)
     a = members.select(F.col("label").alias("u"), F.col("cluster").alias("cu"))
     b = members.select(F.col("label").alias("v"), F.col("cluster").alias("cv"))
     within = s.join(a, "u").join(b, "v").filter("cu = cv")
-    both = within.select(F.col("cu").alias("cluster"), F.col("u").alias("label"), "w").unionByName(within.select(F.col("cu").alias("cluster"), F.col("v").alias("label"), "w"))
+    # read four times below, so the joins are made once
+    within = tables.keep(within.select(F.col("cu").alias("cluster"), "u", "v", "w"), "within")
+    both = within.select("cluster", F.col("u").alias("label"), "w").unionByName(within.select("cluster", F.col("v").alias("label"), "w"))
     size = members.groupBy("cluster").agg(F.count("*").alias("size"))
-    total = both.groupBy("cluster", "label").agg(F.sum("w").alias("t")).filter("t > 0")
+    total = tables.keep(both.groupBy("cluster", "label").agg(F.sum("w").alias("t")).filter("t > 0"), "total")
     best = total.groupBy("cluster").agg(F.max("t").alias("t"))
     lead = total.join(best, ["cluster", "t"]).groupBy("cluster").agg(F.min("label").alias("lead"))
     lead = size.join(lead, "cluster", "left").select("cluster", "size", F.when(F.col("size") > 2, F.coalesce("lead", "cluster")).otherwise(F.col("cluster")).alias("centroid"))
-    own = both.join(lead.filter("size > 2").select("cluster", F.col("centroid").alias("label")), ["cluster", "label"])
+    lead = tables.keep(lead, "lead")
+    own = tables.keep(both.join(lead.filter("size > 2").select("cluster", F.col("centroid").alias("label")), ["cluster", "label"]), "own")
     spread = own.groupBy("cluster").agg(F.min("w").alias("least"), F.avg("w").alias("mean"), F.max("w").alias("greatest"))
     middle = quartiles(own, "cluster", "w").select("cluster", F.col("q2").alias("median"))
     out = lead.join(spread, "cluster", "left").join(middle, "cluster", "left")

@@ -57,3 +57,12 @@ def test_against_a_matrix(spark):
 def test_no_edges(spark):
     d = spark.createDataFrame([], "src string, dst string, w double")
     assert linkage.clusters(d, 1.0).collect() == []
+
+
+def test_edges_are_joined_once(spark, tmp_path):
+    """Each step read the joins anew from the edges."""
+    spark.createDataFrame([(1, 2, 9.0), (2, 3, 9.0), (1, 3, 1.0)], "src long, dst long, w double").write.parquet(f"{tmp_path}/edges.parquet")
+    e = spark.read.parquet(f"{tmp_path}/edges.parquet")
+    out = linkage.representatives(e, linkage.clusters(e, 5.0))
+    assert "edges.parquet" not in "".join(out.inputFiles())
+    assert [tuple(r) for r in out.collect()] == [(1, 3, 2, 9.0, 9.0, 9.0, 9.0)]
