@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandframe.functions.sequence import AMINO
+from strandframe.operators.first_centroid import _Tables
 from strandframe.operators.structure import SIZES
 
 MOTIFS = "ABC"
@@ -62,7 +63,12 @@ def motif_profiles(rows: DataFrame, given: DataFrame, background: DataFrame, pse
     score is the log of the letter's share, mixed with `pseudo` parts of what its column's letters stand for, over its
     background; the wild card is the background's mean score, 0 at most; the consensus letter is the commonest, the first
     of equals, in lower case under SURE."""
-    n = column_letters(rows)
+    return profiles_of_letters(column_letters(rows), given, background, pseudo)
+
+
+def profiles_of_letters(n: DataFrame, given: DataFrame, background: DataFrame, pseudo: float = 0.1) -> DataFrame:
+    """motif_profiles of counted letters (group, motif, col, aa, n). They are written out first, as they are few and read thrice."""
+    n = _Tables(n.sparkSession).keep(n, "letters")
     each = F.explode(F.array(*[F.struct(F.lit(a).alias("aa")) for a in AMINO]))
     per = n.groupBy(*KEY).agg(F.sum("n").alias("total"), F.max_by("aa", F.struct("n", -F.ascii("aa"))).alias("top"), F.max("n").alias("most"))
     raw = n.join(per, list(KEY)).select(*KEY, F.col("aa").alias("given"), (F.col("n") / F.col("total")).alias("f"))

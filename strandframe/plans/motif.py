@@ -1,11 +1,14 @@
 """The motif-scan query: windows against integer profiles, chaining A-B-C, best and second group per sequence."""
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.functions.sequence import AMINO, clean
+from strandframe.functions.sequence import AMINO, clean, clean_text
+from strandframe.operators.first_centroid import _Tables
 from strandframe.operators.motif_scan import Model, search
 from strandframe.operators import model_building
+from strandframe.operators.structure import SIZES
 from strandframe.operators.translate import top_window
 
 
@@ -35,14 +38,40 @@ def top_motif_c(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_window(sequences(spark, sf_dir), np.array([column(g) for g in "GDD"], np.int32))
 
 
+def _block_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """group, col (0 to 33), a, b, n of every whole block of 34 letters of the texts: n letters a in a column, and in col -1 blocks that begin with a, b."""
+    size, place = sum(SIZES), np.zeros(128, np.int64)
+    place[[ord(a) for a in AMINO]] = range(len(AMINO))
+
+    def run(frames):
+        for f in frames:
+            for lang, texts in f.groupby("lang", dropna=False)["text"]:
+                letters, firsts = np.zeros(size * 20, np.int64), np.zeros(400, np.int64)
+                for t in texts:
+                    s = place[np.frombuffer(clean_text(t).encode(), np.uint8)]
+                    s = s[: len(s) // size * size].reshape(-1, size)
+                    letters += np.bincount((s + np.arange(size) * 20).ravel(), minlength=size * 20)
+                    firsts += np.bincount(s[:, 0] * 20 + s[:, 1], minlength=400)
+                i, k = np.flatnonzero(letters), np.flatnonzero(firsts)
+                names = np.array(list(AMINO), object)
+                yield pd.DataFrame({
+                    "group": None if pd.isna(lang) else lang, "col": np.concatenate([i // 20, np.full(len(k), -1)]), "a": names[np.concatenate([i % 20, k // 20])],
+                    "b": np.concatenate([np.full(len(i), None), names[k % 20]]), "n": np.concatenate([letters[i], firsts[k]]),
+                })
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "text").filter("text IS NOT NULL")
+    return docs.mapInPandas(run, "group string, col int, a string, b string, n long").groupBy("group", "col", "a", "b").agg(F.sum("n").alias("n"))
+
+
 def motif_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles by language from every whole block of 34 letters of the texts, cut into the three motifs; the first two letters of the blocks tell which stand for each other."""
-    blocks = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("lang").alias("group"), F.explode(F.regexp_extract_all(clean("text"), F.lit("(.{34})"), F.lit(1))).alias("b"))
-    parts = F.array(*[F.struct(F.lit(m).alias("motif"), F.substring("b", at, n).alias("row")) for m, at, n in (("A", 1, 12), ("B", 13, 14), ("C", 27, 8))])
+    counts = _Tables(spark).keep(_block_counts(spark, sf_dir), "blocks")  # one pass over the texts
     every = spark.createDataFrame([(a, b, 1) for a in AMINO for b in AMINO], "a string, b string, n long")
-    pairs = blocks.groupBy(F.substring("b", 1, 1).alias("a"), F.substring("b", 2, 1).alias("b")).agg(F.count("*").alias("n"))
+    pairs = counts.filter("col = -1").groupBy("a", "b").agg(F.sum("n").alias("n"))
     given, background = model_building.conditional(pairs.unionByName(every))
-    out = model_building.motif_profiles(blocks.select("group", F.explode(parts).alias("p")).select("group", "p.motif", "p.row"), given, background)
+    motif = F.when(F.col("col") < SIZES[0], "A").when(F.col("col") < SIZES[0] + SIZES[1], "B").otherwise("C")
+    col = F.col("col") + 1 - F.when(motif == "A", 0).when(motif == "B", SIZES[0]).otherwise(SIZES[0] + SIZES[1])
+    out = model_building.profiles_of_letters(counts.filter("col >= 0").select("group", motif.alias("motif"), col.alias("col"), F.col("a").alias("aa"), "n"), given, background)
     return out.select("group", "motif", F.col("col").cast("long").alias("col"), "aa", F.round("score", 6).alias("score"), F.round("wildcard", 6).alias("wildcard"), "consensus")
 
 

@@ -90,3 +90,15 @@ def test_stockholm_to_rows(spark, tmp_path):
         mb.stockholm_motifs(readers.stockholm(spark, path), readers.stockholm_features(spark, path)).collect()
     rows = spark.createDataFrame([("g", "A", "ACDEFGHIKLMN"), ("g", "A", "AC"), ("g", "B", "A" * 13), ("g", "C", "A" * 8)], "group string, motif string, row string")
     assert {(r.motif, r.least, r.most) for r in mb.row_faults(rows).collect()} == {("A", 2, 12), ("B", 13, 13)}
+
+
+def test_profiles_of_texts_scan_them_once(spark, tmp_path):
+    from strandframe.plans import motif
+
+    text = "acdefghiklmnpqrstvwy" * 4
+    spark.createDataFrame([(1, text, "x"), (2, None, "x"), (3, "de" * 40, None)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = motif.motif_profiles(spark, str(tmp_path))
+    assert "documents" not in "".join(out.inputFiles())
+    got = {(r["group"], r.motif, r.col): r.consensus for r in out.collect()}
+    blocks = [(text * 2).upper()[34 * k : 34 * k + 34] for k in range(2)]
+    assert [got["x", m, c].upper() for m, n in (("A", 12), ("B", 14), ("C", 8)) for c in range(1, n + 1)] == [min(p) for p in zip(*blocks, strict=True)]
