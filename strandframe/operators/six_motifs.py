@@ -21,6 +21,8 @@ LEAST_WAY = (30, 30, 20, 10, 4, 0)
 MOST_WAY = (100, 150, 100, 70, 70, 100)
 LEAST_SCORE = (0.6, 0.55, 0.6, 0.6, 0.6, 0.4)
 THIN = 10
+#: triples that are met at a time
+MET = 1 << 18
 REPORT_LEAST = 0.1
 PLACES = sum(SIZES)
 
@@ -150,13 +152,33 @@ class _Chain:
             span = int(at[0]), int(at[-1])
         (a, xa), (b, xb), (c, xc) = found
         both = xb[:, None] + xa[None, :] + 2 * self.grid(1, 2, a, b).T  # b by a: of equal ones the first a counts
-        bc, ac, best = self.grid(2, 3, b, c), self.grid(1, 3, a, c), (0.0, 0, 0, 0)
-        for k in range(len(c)):
-            total = both + xc[k] + 2 * (bc[:, k][:, None] + ac[:, k][None, :])
-            j, i = np.unravel_index(int(total.argmax()), total.shape)
-            if total[j, i] > best[0]:
-                best = (float(total[j, i]), int(a[i]), int(b[j]), int(c[k]))
-        return dict(zip((1, 2, 3), best[1:], strict=True)) if best[0] > 0 else None
+        both = both.ravel()
+        order = np.argsort(-both, kind="stable")  # the best first; a pair is met only while it could still win, as no block is above 1
+        known = {m: np.full((len(x), len(c)), np.nan) for m, x in ((1, a), (2, b))}
+
+        def blocks(m, x, i, k):
+            new = np.unique((i * len(c) + k)[np.isnan(known[m][i, k])])
+            ni, nk = np.divmod(new, len(c))
+            known[m][ni, nk] = self.s.cross(m, 3, x[ni], c[nk])
+            return known[m][i, k]
+
+        best, where, at = 0.0, None, 0
+        while at < len(order) and both[order[at]] + xc.max() + 4 >= best - 1e-9:
+            g = order[at : at + min(max(8, at), max(1, MET // len(c)))]
+            at += len(g)
+            part = both[g][:, None] + xc
+            row, k = np.nonzero(part + 4 >= best - 1e-9)
+            (j, i), part = np.divmod(g[row], len(a)), part[row, k]
+            bc = blocks(2, b, j, k)
+            ok = part + 2 * bc + 2 >= best - 1e-9
+            i, j, k, part, bc = i[ok], j[ok], k[ok], part[ok], bc[ok]
+            total = part + 2 * (bc + blocks(1, a, i, k))
+            if len(total) and total.max() >= best:
+                top = np.flatnonzero(total == total.max())
+                first = min(zip(k[top].tolist(), j[top].tolist(), i[top].tolist(), strict=True))  # of equal ones the first c, then b, then a
+                if total.max() > best or first < where:
+                    best, where = float(total.max()), first
+        return {1: int(a[where[2]]), 2: int(b[where[1]]), 3: int(c[where[0]])} if where else None
 
     def total(self, at: dict) -> float:
         """Sum over ordered pairs of motifs, a motif with itself once."""

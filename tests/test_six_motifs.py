@@ -123,3 +123,29 @@ def test_training_reader_and_format(spark, tmp_path):
             six.read_profile(bad)
     with pytest.raises(ValueError):
         six.Profile.of(contacts.train(six.cells(t.filter("pos_e IS NULL"))))
+
+
+def test_few_triples_are_scored(monkeypatch):
+    """All pairs with C and all triples were scored, which a long text does not end; equal to all triples here."""
+    from strandframe.plans.contacts import walk
+
+    rng = np.random.default_rng(11)
+    s = "".join(rng.choice(list("ADGKRSTV"), 1500))
+    p = np.stack(walk(s), 1)
+    at = np.concatenate([np.arange(x, x + n) for x, n in zip((11, 61, 131, 181, 221, 251), six.SIZES, strict=True)])
+    mean = np.sqrt(((p[at][:, None] - p[at][None]) ** 2).sum(-1))
+    chain = six._Chain(s, p, six.Profile(mean, np.full(mean.shape, 2.0)))
+    met = []
+    one = chain.s.cross
+    monkeypatch.setattr(chain.s, "cross", lambda k, m, x, y: met.append((m, len(x))) or one(k, m, x, y))
+    got = chain.triple()
+    few = sum(n for m, n in met if m == 3)
+    # the same thinned candidates, and every triple of them
+    end = [chain.n - sum(w + 1 for w in six.LEAST_WAY[k:]) for k in (1, 2, 3)]
+    a, xa = chain.thin(1, 0, end[0])
+    b, xb = chain.thin(2, int(a[0]) + six.LEAST_WAY[1], min(int(a[-1]) + six.MOST_WAY[1], end[1]))
+    c, xc = chain.thin(3, int(b[0]) + six.LEAST_WAY[2], min(int(b[-1]) + six.MOST_WAY[2], end[2]))
+    ab, bc, ac = chain.grid(1, 2, a, b).T, chain.grid(2, 3, b, c), chain.grid(1, 3, a, c)
+    total = (xb[:, None] + xa[None] + 2 * ab)[None] + xc[:, None, None] + 2 * (bc.T[:, :, None] + ac.T[:, None, :])
+    k, j, i = np.unravel_index(int(total.argmax()), total.shape)
+    assert got == {1: a[i], 2: b[j], 3: c[k]} and 0 < few < (len(a) + len(b)) * len(c)
