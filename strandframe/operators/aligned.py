@@ -3,6 +3,8 @@
 Pairs (a, b) are joined with their chains, so a pair is a row: nothing is broadcast and no chain meets all others in
 one task. Searches against references take a list that the caller holds, in groups. Pairs of unknown, null or empty
 chains give no row; extra columns of chains are ignored."""
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -46,16 +48,23 @@ def frame_pairs(pairs: DataFrame, chains: DataFrame, key: str = "label", kind: s
 
 
 def tm_pairs(pairs: DataFrame, chains: DataFrame, key: str = "label", kind: str = "string") -> DataFrame:
-    """a, b, tm (a share of b's length), rmsd, matched and path of pairs of chains in frames of their own; pairs of which no fragment matches, or under three places, give no row."""
+    """a, b, tm (a share of b's length), rmsd, matched and path of pairs of chains in frames of their own; pairs of which no fragment matches, or under three places, give no row. Those of a batch that have the same two lengths are aligned together."""
 
-    def one(r):
-        x, y = _xyz(r, "1"), _xyz(r, "2")
-        got = superpose.tm_align(x, y) if np.isfinite(x).all() and np.isfinite(y).all() else None
-        return (r.a, r.b, *got) if got else None
+    names = ["a", "b", "tm", "rmsd", "matched", "path"]
+
+    def run(frames):
+        for f in frames:
+            same: dict = {}
+            for r in f.itertuples():
+                x, y = _xyz(r, "1"), _xyz(r, "2")
+                if np.isfinite(x).all() and np.isfinite(y).all():
+                    same.setdefault((len(x), len(y)), []).append((r.a, r.b, x, y))
+            out = [((a, b, *got) for a, b, got in zip(one, other, superpose.tm_aligns(np.stack(x), np.stack(y)), strict=True) if got) for one, other, x, y in (zip(*v, strict=True) for v in same.values())]
+            yield pd.DataFrame(list(itertools.chain(*out)), columns=names)
 
     rows = joined(pairs, chains, key, ["xs", "ys", "zs"])
     rows = rows.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a pair is much work for few bytes
-    return _over(rows, one, f"a {kind}, b {kind}, tm double, rmsd double, matched int, path string")
+    return rows.mapInPandas(run, f"a {kind}, b {kind}, tm double, rmsd double, matched int, path string")
 
 
 def tm_grid(chains: DataFrame, refs: DataFrame, key: str = "label") -> DataFrame:

@@ -99,3 +99,48 @@ def test_pairs_are_rows(spark):
     for (a, b), r in got.items():
         assert sp.tm_align(dict(rows)[a], dict(rows)[b])[0] == pytest.approx(r.tm)
         assert r.path.count("M") == r.matched and len(r.path.replace("I", "")) == len(dict(rows)[a]) and len(r.path.replace("D", "")) == len(dict(rows)[b])
+
+
+def test_rotations_equal_singular_values():
+    rng = np.random.default_rng(19)
+    u, s, vt = np.linalg.svd(rng.normal(size=(400, 3, 3)))
+    s *= np.repeat([[1, 1, 1], [1, 1, 0], [1, 1e-4, 1e-5], [1e9, 1e9, 1e9]], 100, 0)  # any, flat, thin, far out
+    cov = (u * s[:, None, :]) @ vt
+    u[:, :, 2] *= np.sign(np.linalg.det(u @ vt))[:, None]
+    got = sp._rotations(cov.transpose(1, 2, 0)).transpose(2, 0, 1)
+    np.testing.assert_allclose(got, (u @ vt).transpose(0, 2, 1), atol=1e-8)
+    line = sp._rotations(np.stack([np.zeros((3, 3)), np.outer([1.0, 2, 3], [3.0, 1, 2])], 2)).transpose(2, 0, 1)
+    np.testing.assert_allclose(line @ line.transpose(0, 2, 1), np.eye(3)[None].repeat(2, 0), atol=1e-12)
+
+
+def test_near_points_widen_by_halves():
+    d2 = np.array([[1.0, 30.3, 1e14], [2, 9, 0], [50, 40, 1e12], [40, 90, 4]])
+    for column in d2.T:
+        wide = 3.0
+        while wide < 50 and (column <= wide * wide).sum() < 3:
+            wide += 0.5
+        if wide < 50:
+            assert (sp._near(column[:, None], 3.0)[:, 0] == (column <= wide * wide)).all()
+    assert sp._near(d2, 3.0)[:, 2].tolist() == [False, True, True, True]  # a million steps of a half
+
+
+def test_pairs_of_equal_lengths_go_together(monkeypatch):
+    calls = []
+    fill = sp._match
+    monkeypatch.setattr(sp, "_match", lambda *a: calls.append(1) or fill(*a))
+    x = np.stack([walk(100 + k, 20) for k in range(40)])
+    y = np.stack([turned(walk(100 + k // 2 * 2, 23), k) if k % 3 else walk(300 + k, 23) for k in range(40)])
+    x[7], y[7] = x[7] * 0, y[7] * 0 + 1e3  # all in one place
+    alone = []
+    for k in range(40):
+        calls.clear()
+        alone.append(sp.tm_align(x[k], y[k]))
+    each = len(calls)
+    calls.clear()
+    together = sp.tm_aligns(x, y)
+    assert len(calls) == each  # as many tables for forty pairs as for one
+    monkeypatch.setattr(sp, "BLOCK", 5000)  # a pair's seeds lie in several portions
+    parts = sp.tm_aligns(x, y)
+    for one, many, part in zip(alone, together, parts, strict=True):
+        assert one[2:] == many[2:] == part[2:] and many[:2] == pytest.approx(one[:2]) and part[:2] == pytest.approx(one[:2])
+    assert len({t[2] for t in together}) > 3 and max(t[0] for t in together) > 0.8
