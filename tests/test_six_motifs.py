@@ -149,3 +149,43 @@ def test_few_triples_are_scored(monkeypatch):
     total = (xb[:, None] + xa[None] + 2 * ab)[None] + xc[:, None, None] + 2 * (bc.T[:, :, None] + ac.T[:, None, :])
     k, j, i = np.unravel_index(int(total.argmax()), total.shape)
     assert got == {1: a[i], 2: b[j], 3: c[k]} and 0 < few < (len(a) + len(b)) * len(c)
+
+
+@pytest.mark.parametrize("limits", [{}, {"COARSE": 0.0}, {"BINS": 0.1, "COARSE": 1.0, "CELLS": 1 << 10, "TILE": 20, "MET": 50, "FEW": 3}])
+def test_tables_leave_few_pairs(monkeypatch, limits):
+    """All pairs of A and B were scored exactly, which 1 GB of texts does not end; equal to all triples here, with coarse and without tables too."""
+    from strandframe.plans.contacts import walk
+
+    for k, v in limits.items():
+        monkeypatch.setattr(six if hasattr(six, k) else contacts, k, v)
+    rng = np.random.default_rng(12)
+    rows = []
+    for k, n in enumerate((1500, 300, 900, 40, 700)):
+        s = "".join(rng.choice(list("ADGKRSTV"), n))
+        rows.append((k, s, np.stack(walk(s), 1)))
+    p = rows[0][2]
+    at = np.concatenate([np.arange(x, x + n) for x, n in zip((11, 61, 131, 181, 221, 251), six.SIZES, strict=True)])
+    mean = np.sqrt(((p[at][:, None] - p[at][None]) ** 2).sum(-1))
+    prof = six.Profile(mean, np.full(mean.shape, 2.0))
+    met, one = [], contacts._Scores.cross
+    for k, s, p in rows:
+        chain = six._Chain(s, p, prof)
+        found = chain.thinned()
+        if found is None:
+            assert chain.triple() is None
+            continue
+        (a, xa), (b, xb), (c, xc) = found
+        ab, bc, ac = chain.grid(1, 2, a, b), chain.grid(2, 3, b, c), chain.grid(1, 3, a, c)
+        for got, (x, y, w, z) in ((ab, (1, 2, a, b)), (bc, (2, 3, b, c)), (ac, (1, 3, a, c))):
+            near, off = chain.s.near(x, y, w, z)
+            assert abs(near - got).max() <= off
+        total = (xb[:, None] + xa[None] + 2 * ab.T)[None] + xc[:, None, None] + 2 * (bc.T[:, :, None] + ac.T[:, None, :])
+        z, j, i = np.unravel_index(int(total.argmax()), total.shape)
+        monkeypatch.setattr(contacts._Scores, "cross", lambda self, *x: met.append((x[:2], len(x[2]))) or one(self, *x))
+        assert chain.triple() == {1: a[i], 2: b[j], 3: c[z]}
+        monkeypatch.setattr(contacts._Scores, "cross", one)
+        few = sum(n for x, n in met if x == (1, 2))
+        assert few and (limits or few < len(a) * len(b) / 4 or len(a) * len(b) < 100)
+        met.clear()
+    each = [list(six._search([r], prof)) for r in rows]
+    assert [x for y in each for x in y] == list(six._search(rows, prof)) and sum(map(len, each)) > 1
