@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.operators.contacts import _Blocks, _Scores
+from strandframe.operators.contacts import _Blocks, _Scores, portions
 from strandframe.operators.evaluation import class_probability
 
 #: fixed values: names, lengths, anchor letter (x for none) and its place, least and most way to the next motif, least score
@@ -26,8 +26,8 @@ LEAST_SCORE = (0.6, 0.55, 0.6, 0.6, 0.6, 0.4)
 THIN = 10
 #: triples that are met at a time, and candidates of a motif that are scored with each other at a time
 MET, TILE = 1 << 18, 2048
-#: triples of a chain that wait for those of others to be scored exactly, and letters of chains that are searched at a time
-FEW, PORTION = 4096, 1 << 17
+#: triples of a chain that wait for those of others to be scored exactly
+FEW = 4096
 REPORT_LEAST = 0.1
 PLACES = sum(SIZES)
 
@@ -323,8 +323,8 @@ def _search(rows: list, p: Profile):
             yield label, seq, known["score"], [at[k] - int(starts[known["chain"]]) for k in range(6)]
 
 
-def search(chains: DataFrame, profile: Profile, least: float = REPORT_LEAST, key: str = "label") -> DataFrame:
-    """key, score (of all six), p_rdrp, final_score, places (from 1) and letters of the motifs, gate, gdd; chains with all six and a final score of `least`."""
+def search(chains: DataFrame, profile: Profile, least: float = REPORT_LEAST, key: str = "label", made=None) -> DataFrame:
+    """key, score (of all six), p_rdrp, final_score, places (from 1) and letters of the motifs, gate, gdd; chains with all six and a final score of `least`. made: see contacts.search."""
     shared = chains.sparkSession.sparkContext.broadcast(profile)
     kind = chains.schema[key].dataType.simpleString()
     names = [key, "score", *(f"{c}_{m}" for m in MOTIFS for c in ("pos", "seq"))]
@@ -332,24 +332,12 @@ def search(chains: DataFrame, profile: Profile, least: float = REPORT_LEAST, key
     def run(frames):
         p = shared.value
 
-        def found(rows):
-            hits = _search(rows, p) if rows else ()
-            return pd.DataFrame([(label, score, *(v for a, n in zip(at, SIZES, strict=True) for v in (a + 1, seq[a : a + n]))) for label, seq, score, at in hits], columns=names)
-
-        for f in frames:
-            rows, n = [], 0
-            for label, seq, *xyz in f.itertuples(index=False):
-                if seq is None or any(v is None for v in xyz):
-                    continue
-                rows.append((label, seq, np.array(xyz, float).T))
-                n += len(seq)
-                if n >= PORTION:
-                    yield found(rows)
-                    rows, n = [], 0
-            yield found(rows)
+        for rows in portions(frames, made):
+            hits = _search(rows, p)
+            yield pd.DataFrame([(label, score, *(v for a, n in zip(at, SIZES, strict=True) for v in (a + 1, seq[a : a + n]))) for label, seq, score, at in hits], columns=names)
 
     schema = f"{key} {kind}, score double, " + ", ".join(f"pos_{m} long, seq_{m} string" for m in MOTIFS)
-    d = chains.select(key, "seq", "xs", "ys", "zs").mapInPandas(run, schema)
+    d = (chains if made else chains.select(key, "seq", "xs", "ys", "zs")).mapInPandas(run, schema)
     d = d.withColumn("gate", F.substring("seq_a", 9, 1)).withColumn("gdd", F.substring("seq_c", 3, 3))
     d = d.withColumn("p_rdrp", class_probability(F.col("gate"), F.col("gdd"))).withColumn("final_score", F.col("score") * F.col("p_rdrp"))
     return d.filter(F.col("final_score") >= least)
