@@ -25,7 +25,7 @@ MOST_WAY = (100, 150, 100, 70, 70, 100)
 LEAST_SCORE = (0.6, 0.55, 0.6, 0.6, 0.6, 0.4)
 THIN = 10
 #: triples that are met at a time, and candidates of a motif that are scored with each other at a time
-MET, TILE = 1 << 18, 2048
+MET, TILE = 1 << 18, 3072
 #: triples of a chain that wait for those of others to be scored exactly
 FEW = 4096
 REPORT_LEAST = 0.1
